@@ -117,17 +117,17 @@ def _epoch_plus_minutes(minutes_col: str) -> F.Column:
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under raw-feed column names (strings, like a CSV read)."""
+    """Documents under raw-feed column names, in the public feed's column order."""
     docs = read_table(spark, sf_dir, "documents")
     sp = _source_products_df(spark)
     return (docs.join(F.broadcast(sp), "source", "left")
-            .select(F.col("doc_id").cast("string").alias("Complaint ID"),
-                    F.col("product").alias("Product"),
+            .select(F.col("product").alias("Product"),
                     F.col("text").alias("Consumer complaint narrative"),
-                    F.when(F.col("lang").isin("fr", "de"), "Yes").otherwise("No").alias("Consumer disputed?"),
-                    F.when(F.col("n_chars") > 3000, "No").otherwise("Yes").alias("Timely response?"),
                     F.col("lang").alias("State"),
-                    F.col("source").alias("Submitted via")))
+                    F.col("source").alias("Submitted via"),
+                    F.when(F.col("n_chars") > 3000, "No").otherwise("Yes").alias("Timely response?"),
+                    F.when(F.col("lang").isin("fr", "de"), "Yes").otherwise("No").alias("Consumer disputed?"),
+                    F.col("doc_id").cast("string").alias("Complaint ID")))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,11 +250,11 @@ FROM documents d LEFT JOIN {sp} sp ON d.source = sp.source LEFT JOIN {cm} cm ON
 
 def sql_raw_feed() -> str:
     sp = sql_values(source_products(), ["source", "product"])
-    return f"""SELECT CAST(d.doc_id AS VARCHAR) AS "Complaint ID", sp.product AS "Product",
-  d.text AS "Consumer complaint narrative",
-  CASE WHEN d.lang IN ('fr','de') THEN 'Yes' ELSE 'No' END AS "Consumer disputed?",
+    return f"""SELECT sp.product AS "Product", d.text AS "Consumer complaint narrative",
+  d.lang AS "State", d.source AS "Submitted via",
   CASE WHEN d.n_chars > 3000 THEN 'No' ELSE 'Yes' END AS "Timely response?",
-  d.lang AS "State", d.source AS "Submitted via"
+  CASE WHEN d.lang IN ('fr','de') THEN 'Yes' ELSE 'No' END AS "Consumer disputed?",
+  CAST(d.doc_id AS VARCHAR) AS "Complaint ID"
 FROM documents d LEFT JOIN {sp} sp ON d.source = sp.source"""
 
 
