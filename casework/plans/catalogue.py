@@ -9,6 +9,7 @@ from casework.plans.registry import ORACLES, QUERIES
 _MODULES = [
     "casework.plans.q_text",
     "casework.plans.q_cases",
+    "casework.plans.q_eval",
 ]
 
 
