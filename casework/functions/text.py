@@ -51,10 +51,16 @@ def is_blank(col) -> Column:
 
 def expand_contractions(col, mapping: Sequence[tuple[str, str]] = lexicon.CONTRACTIONS) -> Column:
     """Ordered, case-insensitive substring replacement of contractions."""
-    out = _c(col)
+    src = _c(col)
+    out = src
     for short, full in mapping:
         out = F.regexp_replace(out, "(?i)" + re.escape(short), full.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+    marks = sorted({ch for short, _ in mapping for ch in short if not ch.isalnum()})
+    if not marks:
+        return out
+    # every pattern contains one of these characters: texts without them skip all passes
+    guard = src.rlike("[" + "".join(re.escape(m) for m in marks) + "]")
+    return F.when(guard, out).otherwise(src)
 
 
 def strip_special(col, allowed_class: str = lexicon.ALLOWED_CHARS_CLASS) -> Column:
@@ -107,20 +113,35 @@ def tokens(col, lowercase: bool = True) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def _alternation(words_: Iterable[str]) -> str:
+    """Regex alternation of literal words, longest first."""
+    ws = sorted(set(words_), key=lambda w: (-len(w), w))
+    return "|".join(re.escape(w) for w in ws)
+
+
 def drop_words(arr, stop_words: Iterable[str]) -> Column:
-    """Remove stop words from a token array, keeping order and repeats."""
-    sw = sorted(set(stop_words))
+    """Remove stop words from a token array, keeping order and repeats.
+
+    Native expressions only (no lambda): tokens are joined by spaces, whole
+    tokens in the list are blanked by one regex pass, and the rest is split
+    again.  Tokens never contain spaces, so this is exact.
+    """
+    sw = list(stop_words)
     if not sw:
         return _c(arr)
-    lit = F.array(*[F.lit(w) for w in sw])
-    return F.filter(_c(arr), lambda t: ~F.array_contains(lit, t))
+    joined = F.concat(F.lit(" "), F.array_join(_c(arr), " "), F.lit(" "))
+    kept = F.regexp_replace(joined, f"(?<= )(?:{_alternation(sw)})(?= )", "")
+    return F.array_remove(F.split(kept, " "), "")
 
 
 def bigrams(arr) -> Column:
-    """Adjacent pairs joined by one space (empty for fewer than two tokens)."""
-    a = _c(arr)
-    n = F.greatest(F.size(a) - 1, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), lambda x, y: F.concat_ws(" ", x, y))
+    """Adjacent pairs joined by one space (empty for fewer than two tokens).
+
+    One regex pass over the space-joined tokens: every token that has a
+    successor captures "token successor" in a lookahead (native, no lambda).
+    """
+    joined = F.array_join(_c(arr), " ")
+    return F.regexp_extract_all(joined, F.lit(r"(?=(\S+ \S+))\S+"), F.lit(1))
 
 
 def uni_and_bigrams(arr) -> Column:

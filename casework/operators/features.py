@@ -22,6 +22,7 @@ import zipfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +65,9 @@ def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
     """(id, term, tf): one row per distinct term of each document."""
     d = docs.select(id_col, text_col)
     d = d.repartition(partitions, id_col) if partitions else d.repartition(id_col)
-    ex = d.select(id_col, F.explode(spec.terms(text_col)).alias("term"))
+    # explode_outer: a plain explode makes the optimizer add a size(terms) > 0
+    # filter that recomputes the whole tokenising expression below the exchange
+    ex = d.select(id_col, F.explode_outer(spec.terms(text_col)).alias("term")).where(F.col("term").isNotNull())
     return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
 
 
@@ -92,7 +95,9 @@ def tfidf_weights(tc: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> Da
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     j = j.withColumn("_w", w)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
-    return j.select(id_col, "term", "idx", (F.col("_w") / norm).alias("weight"))
+    # fresh aliases: the same vocabulary may weight both sides of a later cogroup / join
+    return j.select(F.col(id_col).alias(id_col), F.col("term").alias("term"), F.col("idx").alias("idx"),
+                    (F.col("_w") / norm).alias("weight"))
 
 
 def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
@@ -102,6 +107,7 @@ def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
     ``n_docs`` is one driver-side scalar count.
     """
     n_docs = docs.count()
-    tc = doc_term_counts(docs, id_col, text_col, spec)
+    # used twice (vocabulary, weights): keep it rather than re-tokenising
+    tc = doc_term_counts(docs, id_col, text_col, spec).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = fit_vocabulary(tc, n_docs, max_features, min_df, id_col)
     return vocab, tfidf_weights(tc, vocab, id_col)

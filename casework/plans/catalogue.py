@@ -10,6 +10,7 @@ _MODULES = [
     "casework.plans.q_text",
     "casework.plans.q_cases",
     "casework.plans.q_eval",
+    "casework.plans.q_retrieval",
 ]
 
 

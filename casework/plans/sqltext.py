@@ -111,3 +111,40 @@ def validated_select(table: str, key: str, text: str, rules: Rules, category: st
     sel = (f"SELECT {key}, reason_code = 'ok' AS passed, reason_code, {reason} AS reason, "
            f"_nw AS word_count, _nc AS char_count{extra_cols} FROM _vcoded")
     return ctes, sel
+
+
+def stop_filter(list_expr: str, stop_words) -> str:
+    sw = ", ".join(sql_str(w) for w in sorted(set(stop_words)))
+    return f"list_filter({list_expr}, lambda w: NOT list_contains([{sw}], w))"
+
+
+def tfidf_ctes(p: str, table: str, id_expr: str, text_expr: str, spec, max_features: int | None = None,
+               min_df: int = 1, vocab_from: str | None = None) -> list[tuple[str, str]]:
+    """CTEs ``{p}_tc`` (id, term, tf), ``{p}_voc`` (term, idx, df, ttf, idf) unless
+    ``vocab_from`` is given, and ``{p}_nw`` (id, term, idx, weight)."""
+    base = clean_text(text_expr) if spec.clean else text_expr
+    toks = tokens(base)
+    if spec.stop_words:
+        toks = stop_filter(toks, spec.stop_words)
+    out = [(f"{p}_tok", f"SELECT {id_expr} AS id, {toks} AS t FROM {table}")]
+    if spec.bigrams:
+        out.append((f"{p}_terms", f"SELECT id, list_concat(t, list_transform(range(1, len(t)), "
+                                  f"lambda i: t[i] || ' ' || t[i + 1])) AS terms FROM {p}_tok"))
+    else:
+        out.append((f"{p}_terms", f"SELECT id, t AS terms FROM {p}_tok"))
+    out.append((f"{p}_tc", f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term "
+                           f"FROM {p}_terms) GROUP BY ALL"))
+    voc = vocab_from
+    if voc is None:
+        voc = f"{p}_voc"
+        having = f" HAVING count(*) >= {min_df}" if min_df > 1 else ""
+        lim = f" ORDER BY ttf DESC, term LIMIT {max_features}" if max_features else ""
+        out.append((f"{p}_st", f"SELECT term, count(*) AS df, sum(tf) AS ttf FROM {p}_tc GROUP BY term{having}"))
+        out.append((voc, f"SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df, ttf, "
+                         f"ln((1 + (SELECT count(*) FROM {table})) / (1 + df)) + 1 AS idf "
+                         f"FROM (SELECT * FROM {p}_st{lim})"))
+    out.append((f"{p}_w", f"SELECT tc.id, tc.term, v.idx, (1 + ln(tc.tf)) * v.idf AS w "
+                          f"FROM {p}_tc tc JOIN {voc} v ON tc.term = v.term"))
+    out.append((f"{p}_nw", f"SELECT id, term, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight "
+                           f"FROM {p}_w"))
+    return out
