@@ -11,6 +11,8 @@ _MODULES = [
     "casework.plans.q_cases",
     "casework.plans.q_eval",
     "casework.plans.q_retrieval",
+    "casework.plans.q_models",
+    "casework.plans.q_streaming",
 ]
 
 

@@ -186,7 +186,11 @@ def vol_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status-update log: one row per event; blank / null fields mean 'no change'."""
-    e = read_table(spark, sf_dir, "events")
+    return updates_from_events(read_table(spark, sf_dir, "events"))
+
+
+def updates_from_events(e: DataFrame) -> DataFrame:
+    """Row-wise projection (works on a batch or a streaming frame)."""
     et = F.col("event_type")
     return e.select(
         F.col("event_id"),
