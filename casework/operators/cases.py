@@ -138,3 +138,20 @@ def notes_for_case(notes: DataFrame, case_id=None) -> DataFrame:
     """Notes of one case (or of all cases), oldest first, ties by id."""
     n = notes if case_id is None else notes.where(F.col("complaint_id") == case_id)
     return n.orderBy("complaint_id", "created_at", "id") if case_id is None else n.orderBy("created_at", "id")
+
+
+# -- request bounds (checked on the driver before a plan is built) ---------------------
+
+def check_text_request(text: str, min_chars: int = 10, max_chars: int = 2000) -> None:
+    if text is None or not min_chars <= len(text) <= max_chars:
+        raise ValueError(f"text must be {min_chars}..{max_chars} characters")
+
+
+def check_batch_request(texts, max_items: int = 500) -> None:
+    if not texts or len(texts) > max_items:
+        raise ValueError(f"texts must hold 1..{max_items} items")
+
+
+def check_similar_k(k: int, max_k: int = 10) -> None:
+    if not 1 <= k <= max_k:
+        raise ValueError(f"k must be in 1..{max_k}")

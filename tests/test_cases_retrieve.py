@@ -93,3 +93,22 @@ def test_embedder_plugin_normalises(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "")], "id long, t string")
     out = {r["id"]: r["vector"] for r in R.embed_with(df, "id", "t", factory, 2).collect()}
     assert abs(sum(v * v for v in out[1]) - 1) < 1e-6
+
+
+def test_request_bounds():
+    C.check_text_request("x" * 10)
+    with pytest.raises(ValueError):
+        C.check_text_request("short")
+    with pytest.raises(ValueError):
+        C.check_batch_request([])
+    with pytest.raises(ValueError):
+        C.check_similar_k(11)
+
+
+def test_append_and_read_cases(spark):
+    from casework.session import scratch_path
+    from casework.sources import tables
+    path = scratch_path(spark, "t-cases")
+    tables.append_cases(_cases(spark, 5), path)
+    tables.append_cases(_cases(spark, 3), path)
+    assert tables.read_cases(spark, path).count() == 8
