@@ -220,7 +220,8 @@ def index_rows(cases: DataFrame, cap: int | None = INDEX_CAP) -> DataFrame:
     """Newest ``cap`` cases with text (bounded TakeOrdered), index metadata projection."""
     c = cases.where(F.col("complaint_text").isNotNull())
     if cap:
-        c = c.orderBy(F.col("created_at").desc(), F.col("id")).limit(cap)
+        from casework.operators.cases import newest
+        c = newest(c, cap, "created_at", "id")
     blank = lambda x, d: F.coalesce(F.when(F.col(x) != "", F.col(x)), F.lit(d))
     return c.select("id", "case_id", blank("category", "").alias("category"),
                     blank("severity", "").alias("severity"), blank("emotion", "").alias("emotion"),

@@ -53,18 +53,20 @@ def repeated_word(sorted_words: Column, n_words: Column, share: float, min_len:
     strictly above ``share``; null if none.  ``sorted_words`` is the row's
     lower-cased words, sorted.
 
-    Exact, per row, no shuffle and no lambda: in the sorted array a run longer
-    than ``share * n`` must cover a position that is a multiple of
-    ``step = max(1, floor(share * n))``, so only those (at most ~2/share)
-    candidates are counted, each with two ``array_position`` scans.
+    Exact, per row, no shuffle and no lambda: a word with ``c / n > share``
+    has ``c >= step = max(1, ceil(share * n - 1e-9))``, and in the sorted
+    array such a run must cover a position that is a multiple of ``step``.
+    So only ``floor(1 / share) + 1`` candidates are counted, each with two
+    ``array_position`` scans.  (The 1e-9 slack only ever lowers the step,
+    which adds coverage; rows here have at most ``max_words`` words.)
     """
     s, n = sorted_words, n_words
     if share <= 0:
         return F.array_min(F.filter(s, lambda x: F.length(x) >= min_len))
-    step = F.greatest(F.floor(n * F.lit(share)), F.lit(1)).cast("int")
+    step = F.greatest(F.ceil(n * F.lit(share) - F.lit(1e-9)), F.lit(1)).cast("int")
     rev = F.reverse(s)
     hits = []
-    for k in range(1, int(math.ceil(2.0 / share)) + 2):
+    for k in range(1, int(math.floor(1.0 / share)) + 2):
         w = F.get(s, step * k - 1)
         cnt = (F.size(s) - F.array_position(rev, w) + 1) - F.array_position(s, w) + 1
         hits.append(F.when(w.isNotNull() & (F.length(w) >= min_len) & (cnt / n > F.lit(share)), w))

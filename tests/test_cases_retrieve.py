@@ -112,3 +112,10 @@ def test_append_and_read_cases(spark):
     tables.append_cases(_cases(spark, 5), path)
     tables.append_cases(_cases(spark, 3), path)
     assert tables.read_cases(spark, path).count() == 8
+
+
+def test_newest_matches_plain_sort(spark):
+    df = _cases(spark, 40)
+    want = [r[0] for r in df.orderBy(F.col("created_at").desc(), "id").limit(7).select("id").collect()]
+    assert [r[0] for r in C.newest(df, 7).select("id").collect()] == want
+    assert C.newest(df, 100).count() == 40
