@@ -114,9 +114,30 @@ def tokens(col, lowercase: bool = True) -> Column:
 
 
 def _alternation(words_: Iterable[str]) -> str:
-    """Regex alternation of literal words, longest first."""
-    ws = sorted(set(words_), key=lambda w: (-len(w), w))
-    return "|".join(re.escape(w) for w in ws)
+    """Regex matching exactly the given literal words, as a prefix trie.
+
+    A flat alternation makes the engine try every word at every token start;
+    the trie dispatches on the next character, so each token costs about its
+    own length.  Callers anchor both ends, so the match is a whole token.
+    """
+    trie: dict = {}
+    for w in set(words_):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        branches = [re.escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        if end:
+            return "(?:" + body + ")?"
+        return body
+
+    return emit(trie)
 
 
 def drop_words(arr, stop_words: Iterable[str]) -> Column:

@@ -49,14 +49,22 @@ def _flag(col: Column | None) -> Column:
     return F.lower(T.py_strip(F.coalesce(col.cast("string"), F.lit(""))))
 
 
+def with_lower(df: DataFrame, text_col: str, out: str = "_lower") -> DataFrame:
+    """Stage ``lower(text)`` once per row.  Keyword rules sit in CASE branches,
+    where common subexpressions are not shared, so unstaged each keyword would
+    lower-case the whole text again."""
+    return df.withColumn(out, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def derive_severity(text_col, disputed_col=None, timely_col=None,
                     tiers: Sequence[tuple[str, Sequence[str]]] = lexicon.SEVERITY_TIERS,
-                    default: str = lexicon.SEVERITY_DEFAULT) -> Column:
-    """Flags first (disputed & late: critical, disputed: high, late: medium), then keywords."""
+                    default: str = lexicon.SEVERITY_DEFAULT, lowered: bool = False) -> Column:
+    """Flags first (disputed & late: critical, disputed: high, late: medium), then keywords.
+    ``lowered``: ``text_col`` is already lower-cased (see ``with_lower``)."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
     disputed = _flag(c(disputed_col) if disputed_col is not None else None)
     timely = _flag(c(timely_col) if timely_col is not None else None)
-    lower = F.lower(F.coalesce(c(text_col), F.lit("")))
+    lower = c(text_col) if lowered else F.lower(F.coalesce(c(text_col), F.lit("")))
     return (F.when((disputed == "yes") & (timely == "no"), F.lit("critical"))
              .when(disputed == "yes", F.lit("high"))
              .when(timely == "no", F.lit("medium"))
@@ -64,9 +72,9 @@ def derive_severity(text_col, disputed_col=None, timely_col=None,
 
 
 def derive_emotion(text_col, tiers: Sequence[tuple[str, Sequence[str]]] = lexicon.EMOTION_TIERS,
-                   default: str = lexicon.EMOTION_DEFAULT) -> Column:
+                   default: str = lexicon.EMOTION_DEFAULT, lowered: bool = False) -> Column:
     c = F.col(text_col) if isinstance(text_col, str) else text_col
-    return tiered_label(F.lower(F.coalesce(c, F.lit(""))), tiers, default)
+    return tiered_label(c if lowered else F.lower(F.coalesce(c, F.lit(""))), tiers, default)
 
 
 def blank_to_null(col) -> Column:

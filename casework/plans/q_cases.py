@@ -185,8 +185,10 @@ def _sql_build() -> str:
 def build_cases(spark, sf_dir):
     """Upload -> validate -> fill blank labels (rule predictor) -> case records."""
     up = _roundtrip(spark, sf_dir)
-    up = up.withColumn("_pred_severity", L.derive_severity("complaint_text", tiers=FX.FIXTURE_SEVERITY_TIERS)) \
-           .withColumn("_pred_emotion", L.derive_emotion("complaint_text", FX.FIXTURE_EMOTION_TIERS))
+    up = L.with_lower(up, "complaint_text")
+    up = up.withColumn("_pred_severity", L.derive_severity("_lower", tiers=FX.FIXTURE_SEVERITY_TIERS, lowered=True)) \
+           .withColumn("_pred_emotion", L.derive_emotion("_lower", FX.FIXTURE_EMOTION_TIERS, lowered=True)) \
+           .drop("_lower")
     records, _rejected = I.build_cases(up, predicted={"severity": "_pred_severity", "emotion": "_pred_emotion"},
                                        now=F.expr(FIXED_NOW),
                                        id_col=F.concat(F.lit("csv-"), F.col("customer_id")))

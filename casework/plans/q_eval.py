@@ -73,7 +73,7 @@ SQL_METRICS = ("SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted E
 
 
 @register("accuracy_heads", lambda: _with_long(
-    "SELECT head, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, "
+    "SELECT head, round(avg(CASE WHEN truth IS NOT DISTINCT FROM pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, "
     "count(*) AS n FROM lf GROUP BY head"))
 def accuracy_heads(spark, sf_dir):
     return EV.accuracy(_long(spark, sf_dir))
@@ -149,36 +149,33 @@ def decode_heads(spark, sf_dir):
 # Results table derived from the labelled documents: three deterministic
 # "models" per task, scored on the test side of the stratified split.
 
+RULE_MODELS = {"keyword_rule": "rule", "majority": "majority", "first_label": "first_label"}
+
+
 def _rule_results(spark, sf_dir):
+    """All task x model metrics from one grouped count of (model, task, truth, pred)."""
     from casework.operators import sampling as SM
     p = _spark_predictions(FX.labelled(spark, sf_dir))
-    rows = []
-    for task, (truth, pred) in HEADS.items():
-        base = p.select(F.lit(task).alias("task"), F.col("doc_id"), F.col(truth).alias("truth"),
-                        F.col(pred).alias("rule"))
-        rows.append(base)
-    long = rows[0]
-    for r in rows[1:]:
-        long = long.unionByName(r)
-    long = SM.stratified_split(long, "task", "doc_id", 20).where(F.col("split") == "test")
-    # majority class per task (ties: smallest label)
-    maj = (long.groupBy("task", "truth").agg(F.count(F.lit(1)).alias("c"))
-               .groupBy("task").agg(F.min_by("truth", F.struct(-F.col("c"), F.col("truth"))).alias("majority")))
-    first = long.groupBy("task").agg(F.min("truth").alias("first_label"))
-    long = long.join(maj, "task").join(first, "task")
-    models = {"keyword_rule": "rule", "majority": "majority", "first_label": "first_label"}
-    parts = []
-    for name, col in models.items():
-        lf = long.select(F.col("task").alias("head"), "truth", F.col(col).alias("pred"))
-        counts = EV.pair_counts(lf)
-        acc = EV.accuracy(lf).select(F.col("head").alias("task"), "accuracy", F.col("n").alias("n_test"))
-        f1 = EV.weighted_f1(counts).select(F.col("head").alias("task"), "f1_weighted")
-        parts.append(acc.join(f1, "task").select("task", F.lit(name).alias("model"), "accuracy", "f1_weighted",
-                                                 "n_test", F.lit("rule").alias("type")))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    per_task = F.explode(F.array(*[F.struct(F.lit(task).alias("task"), F.col(t).alias("truth"),
+                                            F.col(pr).alias("rule"))
+                                   for task, (t, pr) in HEADS.items()])).alias("_r")
+    long = p.select("doc_id", per_task).select("doc_id", "_r.*")
+    test = SM.stratified_split(long, "task", "doc_id", 20).where(F.col("split") == "test")
+    # per-task baselines: majority class (ties: smallest label) and the first label
+    tc = test.groupBy("task", "truth").agg(F.count(F.lit(1)).alias("c"))
+    base = tc.groupBy("task").agg(F.min_by("truth", F.struct(-F.col("c"), F.col("truth"))).alias("majority"),
+                                  F.min("truth").alias("first_label"))
+    j = test.join(F.broadcast(base), "task")       # one row per task
+    preds = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("pred"))
+                                for m, c in RULE_MODELS.items()])).alias("_m")
+    lf = j.select("task", "truth", preds).select(
+        F.concat_ws("|", F.col("_m.model"), F.col("task")).alias("head"), "truth", F.col("_m.pred").alias("pred"))
+    counts = EV.pair_counts(lf).cache()
+    acc = EV.accuracy_from_counts(counts)
+    f1 = EV.weighted_f1(counts)
+    out = acc.join(f1, "head")
+    return out.select(F.split("head", "[|]").getItem(1).alias("task"), F.split("head", "[|]").getItem(0).alias("model"),
+                      "accuracy", "f1_weighted", F.col("n").alias("n_test"), F.lit("rule").alias("type"))
 
 
 def _sql_rule_results() -> str:
@@ -197,7 +194,7 @@ lab AS (SELECT l.model, l.task, l.label, coalesce((SELECT sum(n) FROM pc WHERE p
           coalesce((SELECT sum(n) FROM pc WHERE pc.model = l.model AND pc.task = l.task AND pc.truth = l.label), 0) AS support
         FROM labs l WHERE l.label IS NOT NULL),
 f AS (SELECT model, task, round(coalesce(sum((CASE WHEN predicted + support = 0 THEN 0.0 ELSE 2 * tp / (predicted + support) END) * support) / sum(support), 0), 4) AS f1_weighted FROM lab GROUP BY ALL),
-a AS (SELECT model, task, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, count(*) AS n_test FROM lf GROUP BY ALL),
+a AS (SELECT model, task, round(avg(CASE WHEN truth IS NOT DISTINCT FROM pred THEN 1.0 ELSE 0.0 END), 4) AS accuracy, count(*) AS n_test FROM lf GROUP BY ALL),
 results AS (SELECT a.task, a.model, a.accuracy, f.f1_weighted, a.n_test, 'rule' AS type FROM a JOIN f USING (model, task))"""
 
 

@@ -73,5 +73,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin to the cluster's parallelism when a scan yields fewer
+    partitions than cores (few large row groups) and the per-row work is CPU
+    heavy.  At scale a scan has far more partitions than cores: no-op."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df

@@ -135,17 +135,17 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sp = _source_products_df(spark)
     cm = L.mapping_frame(spark, lexicon.CATEGORY_MAP, "product", "category")
-    lower = F.lower(F.col("text"))
-    return (docs.join(F.broadcast(sp), "source", "left")
-            .join(F.broadcast(cm), "product", "left")
+    joined = L.with_lower(docs.join(F.broadcast(sp), "source", "left")
+                          .join(F.broadcast(cm), "product", "left"), "text")
+    return (joined
             .select(F.col("doc_id").alias("case_id"),
                     F.col("doc_id").cast("string").alias("id"),
                     F.col("text").alias("complaint_text"),
                     "category",
-                    L.derive_severity("text", F.when(F.col("lang").isin("fr", "de"), "Yes").otherwise("No"),
+                    L.derive_severity("_lower", F.when(F.col("lang").isin("fr", "de"), "Yes").otherwise("No"),
                                       F.when(F.col("n_chars") > 3000, "No").otherwise("Yes"),
-                                      FIXTURE_SEVERITY_TIERS).alias("severity"),
-                    L.tiered_label(lower, FIXTURE_EMOTION_TIERS, lexicon.EMOTION_DEFAULT).alias("emotion"),
+                                      FIXTURE_SEVERITY_TIERS, lowered=True).alias("severity"),
+                    L.derive_emotion("_lower", FIXTURE_EMOTION_TIERS, lowered=True).alias("emotion"),
                     F.lit("fixture").alias("source"),
                     _lang_status(F.col("lang")).alias("status"),
                     F.col("lang").alias("channel"),

@@ -83,11 +83,13 @@ def _read_versions(spark: SparkSession, path: str) -> DataFrame | None:
 def triage_stream(stream: DataFrame, rules: V.Rules, text_col: str = "complaint_text",
                   severity_tiers=None, emotion_tiers=None) -> DataFrame:
     """Validate each incoming case and fill blank labels from the rules (stateless)."""
-    v = V.validate(stream, text_col, rules)
-    pred_sev = L.derive_severity(text_col, tiers=severity_tiers) if severity_tiers else L.derive_severity(text_col)
-    pred_emo = L.derive_emotion(text_col, emotion_tiers) if emotion_tiers else L.derive_emotion(text_col)
+    v = L.with_lower(V.validate(stream, text_col, rules), text_col)
+    sev = dict(tiers=severity_tiers) if severity_tiers else {}
+    emo = dict(tiers=emotion_tiers) if emotion_tiers else {}
+    pred_sev = L.derive_severity("_lower", lowered=True, **sev)
+    pred_emo = L.derive_emotion("_lower", lowered=True, **emo)
     return L.fill_labels(v.withColumn("_ps", pred_sev).withColumn("_pe", pred_emo),
-                         {"severity": "_ps", "emotion": "_pe"}).drop("_ps", "_pe")
+                         {"severity": "_ps", "emotion": "_pe"}).drop("_ps", "_pe", "_lower")
 
 
 def run_triage(spark: SparkSession, source_path: str, schema, out_path: str, rules: V.Rules,
