@@ -72,9 +72,20 @@ def collapse_whitespace(col) -> Column:
     return F.regexp_replace(_c(col), WS_SPLIT, " ")
 
 
-def clean_text(col, mapping: Sequence[tuple[str, str]] = lexicon.CONTRACTIONS) -> Column:
-    """Contractions, special characters, whitespace, lower case, strip."""
-    return py_strip(F.lower(collapse_whitespace(strip_special(expand_contractions(col, mapping)))))
+def clean_text(col, mapping: Sequence[tuple[str, str]] = lexicon.CONTRACTIONS,
+               allowed_class: str = lexicon.ALLOWED_CHARS_CLASS) -> Column:
+    """Contractions, special characters, whitespace, lower case, strip.
+
+    Equals ``strip(lower(collapse_ws(strip_special(expand(text)))))`` in one
+    regex pass: after special characters become spaces the only whitespace
+    left is the space, so "replace each disallowed char, then collapse
+    whitespace runs" is "replace each run of disallowed-or-space chars by one
+    space", and the final strip only has spaces to remove.
+    """
+    if " " not in allowed_class:
+        return py_strip(F.lower(collapse_whitespace(strip_special(expand_contractions(col, mapping), allowed_class))))
+    keep = allowed_class.replace(" ", "")
+    return F.trim(F.lower(F.regexp_replace(expand_contractions(col, mapping), f"[^{keep}]+", " ")))
 
 
 def truncate(col, n: int) -> Column:

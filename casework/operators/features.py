@@ -52,13 +52,18 @@ class TermSpec:
     bigrams: bool = False
     clean: bool = False          # apply the cleaner before tokenising
 
-    def terms(self, text_col) -> F.Column:
+    def tokens(self, text_col) -> F.Column:
+        """Unigram tokens after cleaning and stop-word removal."""
         c = T.clean_text(text_col) if self.clean else F.col(text_col) if isinstance(text_col, str) else text_col
         toks = T.tokens(c)
-        if self.stop_words:
-            toks = T.drop_words(toks, self.stop_words)
+        return T.drop_words(toks, self.stop_words) if self.stop_words else toks
+
+    def terms_from_tokens(self, toks) -> F.Column:
         return T.uni_and_bigrams(toks) if self.bigrams else toks
 
+    def terms(self, text_col) -> F.Column:
+        return self.terms_from_tokens(self.tokens(text_col))
+
 
 def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
                     partitions: int | None = None) -> DataFrame:
@@ -67,7 +72,10 @@ def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
     d = d.repartition(partitions, id_col) if partitions else d.repartition(id_col)
     # explode_outer: a plain explode makes the optimizer add a size(terms) > 0
     # filter that recomputes the whole tokenising expression below the exchange
-    ex = d.select(id_col, F.explode_outer(spec.terms(text_col)).alias("term")).where(F.col("term").isNotNull())
+    # tokens staged as a column: the bigram step reads them twice
+    toks = d.select(id_col, spec.tokens(text_col).alias("_toks"))
+    ex = toks.select(id_col, F.explode_outer(spec.terms_from_tokens(F.col("_toks"))).alias("term")) \
+             .where(F.col("term").isNotNull())
     return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
 
 
