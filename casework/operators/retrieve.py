@@ -133,11 +133,13 @@ def topk_dense(queries: DataFrame, index: DataFrame, k: int = 5, id_col: str = "
 
 
 def topk_sparse(q_weights: DataFrame, x_weights: DataFrame, k: int = 5, id_col: str = "doc_id",
-                exclude_self: bool = False, q_block_rows: int = 2048, i_block_rows: int = 8192) -> DataFrame:
+                exclude_self: bool = False, q_block_rows: int = 2048, i_block_rows: int = 8192,
+                n_queries: int | None = None, n_index: int | None = None) -> DataFrame:
     """Top-k over long-form L2-normalised weights ``(id, idx, weight)``; only
-    pairs sharing a term are candidates."""
-    nq = q_weights.select(id_col).distinct().count()
-    ni = x_weights.select(id_col).distinct().count()
+    pairs sharing a term are candidates.  Pass the row counts of the source
+    tables when known (an upper bound is enough: they only size the blocks)."""
+    nq = n_queries if n_queries is not None else q_weights.select(id_col).distinct().count()
+    ni = n_index if n_index is not None else x_weights.select(id_col).distinct().count()
     n_qb, n_ib = _blocks(nq, q_block_rows), _blocks(ni, i_block_rows)
     q = q_weights.select(F.col(id_col).cast("long").alias("qid"), "idx", F.col("weight").alias("w")) \
                  .withColumn("qb", _block_of("qid", n_qb))
