@@ -85,8 +85,8 @@ def accuracy_heads(spark, sf_dir):
     "LEFT JOIN pc ON g.head = pc.head AND g.truth = pc.truth AND g.pred = pc.pred",
     extra=[("pc", SQL_COUNTS), ("cl", SQL_CLASSES)]))
 def confusion(spark, sf_dir):
-    long = _long(spark, sf_dir)
-    return EV.confusion(EV.pair_counts(long), EV.classes_from_truth(long))
+    counts = EV.pair_counts(_long(spark, sf_dir))
+    return EV.confusion(counts, EV.classes_from_counts(counts))
 
 
 @register("per_class", lambda: _with_long(
@@ -95,8 +95,8 @@ def confusion(spark, sf_dir):
     "CAST(coalesce(m.support, 0) AS BIGINT) AS support FROM cl LEFT JOIN m ON cl.head = m.head AND cl.label = m.label",
     extra=[("pc", SQL_COUNTS), ("cl", SQL_CLASSES), ("lab", SQL_LABELS), ("m", SQL_METRICS)]))
 def per_class(spark, sf_dir):
-    long = _long(spark, sf_dir)
-    return EV.per_class(EV.pair_counts(long), EV.classes_from_truth(long))
+    counts = EV.pair_counts(_long(spark, sf_dir))
+    return EV.per_class(counts, EV.classes_from_counts(counts))
 
 
 @register("weighted_f1", lambda: _with_long(
