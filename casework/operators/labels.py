@@ -77,9 +77,15 @@ def derive_emotion(text_col, tiers: Sequence[tuple[str, Sequence[str]]] = lexico
     return tiered_label(c if lowered else F.lower(F.coalesce(c, F.lit(""))), tiers, default)
 
 
+def is_blank(col) -> Column:
+    """Null, empty or only (Unicode) whitespace -- a match test, no string rebuilt."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(c.rlike(r"(?U)^\s*$"), F.lit(True))
+
+
 def blank_to_null(col) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(T.py_strip(F.coalesce(c, F.lit(""))) == "", F.lit(None).cast("string")).otherwise(c)
+    return F.when(is_blank(c), F.lit(None).cast("string")).otherwise(c)
 
 
 def fill_labels(df: DataFrame, predicted: Mapping[str, str] | None = None,
