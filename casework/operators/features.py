@@ -10,7 +10,7 @@ Plan shape: documents are hash-partitioned by id once (narrow rows), after
 which tokenising, per-document term counts and per-document norms are all
 partition-local; the only other exchange is the per-term document-frequency
 aggregate (map-side combined).  The vocabulary is a bounded top-k
-(``max_features`` rows) and is broadcast.
+(``max_features`` rows) and is broadcast; an uncapped one is joined by key.
 """
 
 from __future__ import annotations
@@ -97,9 +97,22 @@ def fit_vocabulary(tc: DataFrame, n_docs: int, max_features: int | None, min_df:
     return stats.withColumn("idf", idf).select("term", "idx", "df", "ttf", "idf")
 
 
-def tfidf_weights(tc: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, idx, weight) with L2-normalised sublinear tf-idf weights."""
-    j = tc.join(F.broadcast(vocab.select("term", "idx", "idf")), "term", "inner")
+# A capped vocabulary has at most this many rows (~100 bytes each) and is
+# broadcast; an uncapped one grows with the corpus and is joined by key.
+BROADCAST_MAX_TERMS = 200_000
+
+
+def tfidf_weights(tc: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
+                  max_terms: int | None = None) -> DataFrame:
+    """(id, term, idx, weight) with L2-normalised sublinear tf-idf weights.
+
+    ``max_terms``: the vocabulary's row bound (its ``max_features``), if any.
+    Only a vocabulary with a known bound is broadcast; otherwise the join is
+    left to the planner (shuffle on term, AQE splits hot terms).
+    """
+    v = vocab.select("term", "idx", "idf")
+    bounded = max_terms is not None and max_terms <= BROADCAST_MAX_TERMS
+    j = tc.join(F.broadcast(v) if bounded else v, "term", "inner")
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     j = j.withColumn("_w", w)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
@@ -118,4 +131,4 @@ def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
     # used twice (vocabulary, weights): keep it rather than re-tokenising
     tc = doc_term_counts(docs, id_col, text_col, spec).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = fit_vocabulary(tc, n_docs, max_features, min_df, id_col)
-    return vocab, tfidf_weights(tc, vocab, id_col)
+    return vocab, tfidf_weights(tc, vocab, id_col, max_features)

@@ -128,7 +128,7 @@ def similar_lexical(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     b = read_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
     vocab, dw = FE.corpus_tfidf(d, "doc_id", "text", _spec(), MAX_FEATURES)
-    qw = FE.tfidf_weights(FE.doc_term_counts(b, "doc_id", "text", _spec()), vocab)
+    qw = FE.tfidf_weights(FE.doc_term_counts(b, "doc_id", "text", _spec()), vocab, max_terms=MAX_FEATURES)
     hits = R.topk_sparse(qw, dw, K, n_queries=b.count(), n_index=d.count())
     return hits.select("qid", "nid", F.round("score", 4).alias("score"), "rank")
 
