@@ -61,10 +61,40 @@ def _versioned_sink(path: str, prepare: Callable[[DataFrame], dict[str, DataFram
     return write
 
 
+STATE_STORE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE_DEFAULTS = {
+    STATE_STORE_PROVIDER: ROCKSDB_PROVIDER,
+    # commit a changelog per micro-batch, snapshot in the background
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _start(spark: SparkSession, writer) -> StreamingQuery:
+    """Start a query with RocksDB state unless the session chose a provider.
+
+    The default store keeps every state row (one per case or window) on the
+    executor heap; RocksDB keeps it off-heap / on local disk with incremental
+    checkpoints, so state grows with the data without growing the heap.  The
+    query copies the session's settings when it starts (and pins the provider
+    in its checkpoint), so the settings are only changed around ``start``.
+    """
+    changed = {k: v for k, v in STATE_STORE_DEFAULTS.items() if spark.conf.get(k, None) is None}
+    if spark.conf.get(STATE_STORE_PROVIDER, None) is not None:
+        changed = {}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+
+
 def run_available(query_builder, name: str, spark: SparkSession) -> StreamingQuery:
     """Start with ``availableNow`` (process what is there, then stop) and wait."""
     ckpt = scratch_path(spark, f"ckpt-{name}")
-    q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = _start(spark, query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
