@@ -130,3 +130,21 @@ def test_validation_stays_in_one_codegen_stage(spark):
     plan = V.validate(df, "t")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan                      # no shuffle for a per-row check
     assert "lambdafunction" not in plan.lower()        # no interpreted lambdas
+
+
+def test_split_keeps_the_verdict_where_it_was_staged(spark):
+    texts = ["Much too short",
+             "The cash machine kept my debit card and I am upset about it now.",
+             "card card card card card card card card card card card card card card",
+             None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    v = V.validate(df, "t")
+    ok, bad = V.split_accepted(v)
+    assert sorted(r[0] for r in ok.select("i").collect()) == [1]
+    assert sorted(rows(bad, "i", "reason_code")) == [(0, "few_words"), (2, "repetitive"), (3, "empty")]
+    assert ok.columns == v.columns and bad.columns == v.columns
+    # a plain where() would be pushed below the staged projections with the
+    # whole chain inlined; the split must not filter on the sorted word array
+    plan = ok._jdf.queryExecution().optimizedPlan().toString()
+    filters = [ln for ln in plan.splitlines() if ln.lstrip(" +-:").startswith("Filter")]
+    assert not any("sort_array" in ln for ln in filters)
