@@ -54,8 +54,10 @@ class TermSpec:
 
     def tokens(self, text_col) -> F.Column:
         """Unigram tokens after cleaning and stop-word removal."""
-        c = T.clean_text(text_col) if self.clean else F.col(text_col) if isinstance(text_col, str) else text_col
-        toks = T.tokens(c)
+        if self.clean:
+            toks = T.clean_tokens(text_col)
+        else:
+            toks = T.tokens(F.col(text_col) if isinstance(text_col, str) else text_col)
         return T.drop_words(toks, self.stop_words) if self.stop_words else toks
 
     def terms_from_tokens(self, toks) -> F.Column:

@@ -22,6 +22,15 @@ def test_clean_keeps_allowed_punctuation(spark):
     assert one(spark, T.clean_text("t"), "  Héllo,\tWORLD!! (x) a-b?  ") == "h llo, world!! x a-b?"
 
 
+def test_clean_tokens_equal_tokens_of_cleaned_text(spark):
+    texts = ["I can't log in, it's BROKEN_now x9 a", "\u212aelvin \u0130stanbul caf\u00e9 na\u00efve",
+             "  Don't  WON'T\tshe'll  ", "", None, "a b c", "12 345 x_y_z 'quoted' wasn't-it"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows(df, T.tokens(T.clean_text("t")).alias("a"), T.clean_tokens("t").alias("b"))
+    assert all(a == b for a, b in got)
+    assert got[1][1] == ["elvin", "stanbul", "caf", "na", "ve"]
+
+
 def test_tokens_and_stop_words_and_bigrams(spark):
     df = spark.createDataFrame([("The ATM and the card of mine: a b cd",)], "t string")
     toks = T.tokens("t")
