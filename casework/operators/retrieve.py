@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions import text as T
+from casework.session import written
 
 HIT_SCHEMA = "qid long, nid long, score double, rank int"
 RANK_DECIMALS = 9
@@ -225,10 +226,14 @@ def index_rows(cases: DataFrame, cap: int | None = INDEX_CAP) -> DataFrame:
         from casework.operators.cases import newest
         c = newest(c, cap, "created_at", "id")
     blank = lambda x, d: F.coalesce(F.when(F.col(x) != "", F.col(x)), F.lit(d))
-    return c.select("id", "case_id", blank("category", "").alias("category"),
-                    blank("severity", "").alias("severity"), blank("emotion", "").alias("emotion"),
-                    blank("status", "open").alias("status"),
-                    T.truncate("complaint_text", SNIPPET_CHARS).alias("snippet"), "complaint_text", "created_at")
+    out = c.select("id", "case_id", blank("category", "").alias("category"),
+                   blank("severity", "").alias("severity"), blank("emotion", "").alias("emotion"),
+                   blank("status", "open").alias("status"),
+                   T.truncate("complaint_text", SNIPPET_CHARS).alias("snippet"), "complaint_text", "created_at")
+    # the index reads these rows twice (metadata, embedding); a capped set is at
+    # most ``cap`` rows, so it is written once to the shared checkpoint folder
+    # instead of re-running the scan and the top-k selection
+    return written(out, "index-rows") if cap else out
 
 
 def build_index(rows: DataFrame, dim: int = 64) -> DataFrame:

@@ -73,6 +73,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it
+    back: later plans read the table instead of re-running ``df`` (one pass,
+    columnar, survives executor loss; ``checkpoint()`` runs the plan twice)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
 
 
