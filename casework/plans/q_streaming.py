@@ -18,9 +18,12 @@ N_FILES = 4
 
 
 def _stage(spark, df, name, order_col):
+    """The table as a feed of ``N_FILES`` time slices: the first is delivered
+    now (the source folder must exist), the rest are the job's ``feed``."""
     path = scratch_path(spark, f"src-{name}")
-    J.stage_files(df, path, N_FILES, order_col)
-    return path, spark.read.parquet(path).schema
+    first, *rest = J.feed_slices(df, path, N_FILES, order_col)
+    first()
+    return path, spark.read.parquet(path).schema, rest
 
 
 def _sql_triage() -> str:
@@ -36,8 +39,8 @@ def _sql_triage() -> str:
 def stream_triage(spark, sf_dir):
     """Cases arrive as files; each micro-batch is validated, labelled and split
     into accepted / rejected tables."""
-    src, schema = _stage(spark, FX.cases(spark, sf_dir), "cases", "case_id")
-    acc, rej = J.run_triage(spark, src, schema, scratch_path(spark, "triage-out"), FIXTURE_RULES,
+    src, schema, feed = _stage(spark, FX.cases(spark, sf_dir), "cases", "case_id")
+    acc, rej = J.run_triage(spark, src, schema, scratch_path(spark, "triage-out"), FIXTURE_RULES, feed=feed,
                             severity_tiers=FX.FIXTURE_SEVERITY_TIERS, emotion_tiers=FX.FIXTURE_EMOTION_TIERS)
     a = acc.select("case_id", F.lit(True).alias("passed"), F.lit("ok").alias("reason_code"),
                    "category", "severity", "emotion")
@@ -59,8 +62,8 @@ def _sql_fold() -> str:
 def stream_status(spark, sf_dir):
     """Status-update events arrive in time order; the latest non-empty value per
     field is kept as streaming state (one row per case)."""
-    src, schema = _stage(spark, read_table(spark, sf_dir, "events"), "events", "ts")
-    out = J.run_status(spark, src, schema, scratch_path(spark, "status-out"), FX.updates_from_events)
+    src, schema, feed = _stage(spark, read_table(spark, sf_dir, "events"), "events", "ts")
+    out = J.run_status(spark, src, schema, scratch_path(spark, "status-out"), FX.updates_from_events, feed=feed)
     return out.select("case_id", *C.UPDATE_FIELDS, "last_update", "n_updates")
 
 
@@ -68,8 +71,8 @@ def stream_status(spark, sf_dir):
     "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"))
 def stream_volume(spark, sf_dir):
     """Daily event counts per type with a 1-hour watermark (files replayed in time order)."""
-    src, schema = _stage(spark, read_table(spark, sf_dir, "events"), "volume", "ts")
-    out = J.run_volume(spark, src, schema, scratch_path(spark, "volume-out"), "ts", ("event_type",))
+    src, schema, feed = _stage(spark, read_table(spark, sf_dir, "events"), "volume", "ts")
+    out = J.run_volume(spark, src, schema, scratch_path(spark, "volume-out"), "ts", ("event_type",), feed=feed)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
@@ -77,6 +80,6 @@ def stream_volume(spark, sf_dir):
     _sql_index_meta("(SELECT * FROM cases WHERE complaint_text IS NOT NULL)"), names=["cases"]))
 def stream_index(spark, sf_dir):
     """Each micro-batch embeds only unseen cases and appends them to the index."""
-    src, schema = _stage(spark, FX.cases(spark, sf_dir), "index", "case_id")
-    idx = J.run_index_refresh(spark, src, schema, scratch_path(spark, "stream-index"), EMBED_DIM)
+    src, schema, feed = _stage(spark, FX.cases(spark, sf_dir), "index", "case_id")
+    idx = J.run_index_refresh(spark, src, schema, scratch_path(spark, "stream-index"), EMBED_DIM, feed=feed)
     return idx.select(*INDEX_COLS, F.size("vector").cast("int").alias("vector_dim"))

@@ -11,7 +11,7 @@ cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,28 +24,52 @@ from casework.operators import validate as V
 from casework.session import scratch_path
 
 
-def stage_files(df: DataFrame, path: str, n_files: int, order_col: str | None = None) -> str:
-    """Write ``df`` as ``n_files`` parquet files, one write per file in
-    ``order_col`` order, so a file source replays them oldest first."""
+def feed_slices(df: DataFrame, path: str, n_slices: int,
+                order_col: str | None = None) -> list[Callable[[], None]]:
+    """Replay ``df`` as a file feed: one step per slice of ``order_col`` (oldest
+    first), each appending its slice to ``path`` as one parallel write (as many
+    files as the slice has partitions; no task ever holds a whole slice).
+
+    Write the first slice, define the stream, then pass the other steps as the
+    ``feed`` of a job: a run with ``availableNow`` takes all new files as one
+    micro-batch, so batches follow the slices whatever the files'
+    modification times.
+    """
     if order_col is None:
-        df.repartition(n_files).write.mode("overwrite").parquet(path)
-        return path
-    bounds = df.select(F.percentile_approx(order_col, [i / n_files for i in range(1, n_files)], 10000)
+        return [lambda: df.write.mode("append").parquet(path)]
+    bounds = df.select(F.percentile_approx(order_col, [i / n_slices for i in range(1, n_slices)], 10000)
                        .alias("q")).first()["q"]
     edges = [None, *bounds, None]
-    for i in range(n_files):
-        part = df
-        if edges[i] is not None:
-            part = part.where(F.col(order_col) > F.lit(edges[i]))
-        if edges[i + 1] is not None:
-            part = part.where(F.col(order_col) <= F.lit(edges[i + 1]))
-        part.coalesce(1).write.mode("append").parquet(path)
+
+    def step(lo, hi):
+        def write() -> None:
+            part = df
+            if lo is not None:
+                part = part.where(F.col(order_col) > F.lit(lo))
+            if hi is not None:
+                part = part.where(F.col(order_col) <= F.lit(hi))
+            part.write.mode("append").parquet(path)
+        return write
+    return [step(edges[i], edges[i + 1]) for i in range(n_slices)]
+
+
+def stage_files(df: DataFrame, path: str, n_files: int, order_col: str | None = None) -> str:
+    """Write every slice of ``feed_slices`` up front (for jobs that are not run per slice)."""
+    for write in feed_slices(df, path, n_files, order_col):
+        write()
     return path
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(path)
+
+
+def _source(spark: SparkSession, path: str, schema, feed) -> DataFrame:
+    """Fed runs take each slice whole (one micro-batch per run)."""
+    return file_stream(spark, path, schema, None if feed else 1)
 
 
 def _versioned_sink(path: str, prepare: Callable[[DataFrame], dict[str, DataFrame]] | None = None):
@@ -91,13 +115,20 @@ def _start(spark: SparkSession, writer) -> StreamingQuery:
             spark.conf.unset(k)
 
 
-def run_available(query_builder, name: str, spark: SparkSession) -> StreamingQuery:
-    """Start with ``availableNow`` (process what is there, then stop) and wait."""
+def run_available(query_builder, name: str, spark: SparkSession,
+                  feed: Sequence[Callable[[], None]] = ()) -> StreamingQuery:
+    """Run with ``availableNow`` (process what is there, then stop) and wait;
+    with a ``feed``, once more after each step has written its files, on one
+    checkpoint, as a job scheduled after each delivery would."""
     ckpt = scratch_path(spark, f"ckpt-{name}")
-    q = _start(spark, query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True))
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q = None
+    for deliver in [None, *feed]:
+        if deliver is not None:
+            deliver()
+        q = _start(spark, query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True))
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
     return q
 
 
@@ -123,29 +154,31 @@ def triage_stream(stream: DataFrame, rules: V.Rules, text_col: str = "complaint_
 
 
 def run_triage(spark: SparkSession, source_path: str, schema, out_path: str, rules: V.Rules,
-               key: str = "case_id", **tiers) -> tuple[DataFrame, DataFrame]:
+               key: str = "case_id", feed: Sequence[Callable[[], None]] = (),
+               **tiers) -> tuple[DataFrame, DataFrame]:
     """accepted / rejected tables written per micro-batch; returns both, read back."""
-    s = triage_stream(file_stream(spark, source_path, schema), rules, **tiers)
+    s = triage_stream(_source(spark, source_path, schema, feed), rules, **tiers)
 
     def split(b: DataFrame) -> dict[str, DataFrame]:
         return {"accepted": b.where("passed").select(key, "category", "severity", "emotion", "word_count",
                                                      "char_count"),
                 "rejected": b.where("NOT passed").select(key, "reason_code", "reason")}
-    run_available(s.writeStream.foreachBatch(_versioned_sink(out_path, split)), "triage", spark)
+    run_available(s.writeStream.foreachBatch(_versioned_sink(out_path, split)), "triage", spark, feed)
     return _read_versions(spark, f"{out_path}/accepted"), _read_versions(spark, f"{out_path}/rejected")
 
 
 # -- ST2: latest status per case --------------------------------------------------------------
 
 def run_status(spark: SparkSession, source_path: str, schema, out_path: str,
-               project: Callable[[DataFrame], DataFrame]) -> DataFrame:
+               project: Callable[[DataFrame], DataFrame],
+               feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Streaming fold of the update log (update mode: one state row per case);
     each micro-batch writes the cases it changed, the current table is the
     newest version per case."""
-    updates = project(file_stream(spark, source_path, schema))
+    updates = project(_source(spark, source_path, schema, feed))
     folded = C.fold_updates(updates)
     run_available(folded.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)),
-                  "status", spark)
+                  "status", spark, feed)
     return latest_version(_read_versions(spark, f"{out_path}/out"), "case_id")
 
 
@@ -159,15 +192,17 @@ def latest_version(versions: DataFrame, key: str) -> DataFrame:
 # -- ST3: windowed volume with a watermark -------------------------------------------------------
 
 def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_col: str = "ts",
-               keys: tuple[str, ...] = (), window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+               keys: tuple[str, ...] = (), window: str = "1 day", watermark: str = "1 hour",
+               feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Event-time counts per window; events later than the watermark are dropped.
     Update mode: every trigger writes the windows it changed."""
-    s = file_stream(spark, source_path, schema).withColumn("_ts", F.col(ts_col).cast("timestamp"))
+    s = _source(spark, source_path, schema, feed).withColumn("_ts", F.col(ts_col).cast("timestamp"))
     agg = (s.withWatermark("_ts", watermark)
              .groupBy(F.window("_ts", window).alias("w"), *keys)
              .agg(F.count(F.lit(1)).cast("long").alias("n"))
              .select(F.col("w.start").alias("window_start"), *keys, "n"))
-    run_available(agg.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)), "volume", spark)
+    run_available(agg.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)), "volume", spark,
+                  feed)
     v = _read_versions(spark, f"{out_path}/out")
     key = F.concat_ws("|", F.col("window_start").cast("string"), *[F.col(k) for k in keys])
     latest = latest_version(v.withColumn("_k", key), "_k")
@@ -176,7 +211,8 @@ def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_
 
 # -- ST4: index refresh per micro-batch -----------------------------------------------------------
 
-def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path: str, dim: int = 64) -> DataFrame:
+def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path: str, dim: int = 64,
+                      feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Embed only cases the index has not seen and append them (anti-join per batch)."""
     def refresh(batch: DataFrame, batch_id: int) -> None:
         existing = _read_versions(spark, index_path)
@@ -185,5 +221,5 @@ def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path:
             # earlier batches only: a replayed batch rewrites its own folder in full
             rows = rows.join(existing.where(F.col("batch") < batch_id).select("id"), "id", "left_anti")
         R.build_index(rows, dim).write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
-    run_available(file_stream(spark, source_path, schema).writeStream.foreachBatch(refresh), "index", spark)
+    run_available(_source(spark, source_path, schema, feed).writeStream.foreachBatch(refresh), "index", spark, feed)
     return spark.read.parquet(index_path).drop("batch")

@@ -43,3 +43,25 @@ def test_watermark_drops_rows_of_evicted_windows(spark):
     out = J.run_volume(spark, src, schema, scratch_path(spark, "t-wm-out"), "ts", (), "1 day", "1 hour")
     got = {str(r["window_start"])[:10]: r["n"] for r in out.collect()}
     assert got == {"2024-01-01": 1, "2024-01-03": 2}
+
+
+def test_fed_deliveries_are_whole_micro_batches(spark):
+    """Each delivery is written by several tasks (several files) and taken as
+    one micro-batch, so a later delivery's old row is judged against the
+    watermark of the deliveries before it, never against its own files."""
+    src = scratch_path(spark, "t-feed")
+    batches = [
+        [(1, 1, "2024-01-01 10:00:00", "a"), (2, 1, "2024-01-03 10:00:00", "a"), (5, 1, "2024-01-01 12:00:00", "a")],
+        [(4, 1, "2024-01-03 09:30:00", "a"), (6, 1, "2024-01-05 10:00:00", "a")],
+        [(3, 1, "2024-01-01 11:00:00", "a")],          # its window closed two deliveries ago
+    ]
+
+    def deliver(b):
+        return lambda: _events(spark, b).repartition(3).write.mode("append").parquet(src)
+    first, *rest = [deliver(b) for b in batches]
+    first()
+    schema = spark.read.parquet(src).schema
+    out = J.run_volume(spark, src, schema, scratch_path(spark, "t-feed-out"), "ts", (), "1 day", "1 hour",
+                       feed=rest)
+    got = {str(r["window_start"])[:10]: r["n"] for r in out.collect()}
+    assert got == {"2024-01-01": 2, "2024-01-03": 2, "2024-01-05": 1}
