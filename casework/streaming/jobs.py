@@ -47,7 +47,9 @@ def feed_slices(df: DataFrame, path: str, n_slices: int,
             if lo is not None:
                 part = part.where(F.col(order_col) > F.lit(lo))
             if hi is not None:
-                part = part.where(F.col(order_col) <= F.lit(hi))
+                # rows without an order value are delivered first: none is dropped
+                keep = F.col(order_col) <= F.lit(hi)
+                part = part.where(keep | F.col(order_col).isNull() if lo is None else keep)
             part.write.mode("append").parquet(path)
         return write
     return [step(edges[i], edges[i + 1]) for i in range(n_slices)]
