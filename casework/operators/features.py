@@ -15,10 +15,6 @@ aggregate (map-side combined).  The vocabulary is a bounded top-k
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,23 +22,17 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework import lexicon
 from casework.functions import text as T
 
 
-@functools.lru_cache(maxsize=4)
-def stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's built-in stop-word list, read from the MLlib jar (no JVM needed).
+def stop_words() -> tuple[str, ...]:
+    """Spark ML's English stop-word list (a fixed value of the lexicon).
 
     It is not the list the source application's library used (that one is not
     available here); pass your own list to match it exactly.
     """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise RuntimeError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w.strip() for w in raw.splitlines() if w.strip())
+    return tuple(lexicon.ENGLISH_STOP_WORDS)
 
 
 @dataclass(frozen=True)

@@ -39,12 +39,18 @@ def build_session(master: str | None = None, app: str = "casework",
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True when driver and executors are one process (``local-cluster`` is a cluster)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` (or an already set context checkpoint dir) wins.
-    Only when neither is set -- local runs and tests -- a scratch folder is
-    created and registered.
+    Only a local master may go without: a scratch folder is created and
+    registered.  On any other master a missing setting is an error, since each
+    executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             conf_dir = None
     if not conf_dir:
+        if not is_local(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; {sc.master} needs a folder that "
+                               "the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="casework-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
