@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import ann, langid, licences, mixing, packing, sharding, simhash
+from casework.llm import ann, langid, licences, linededup, mixing, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_one_bit_neighbours": ann.embeddings_query,
         "op4_mix_sources": mixing.documents_query,
         "op5_language_id": langid.documents_query,
+        "op6_fuzzy_lines": linededup.documents_query,
         "op8_simhash_near_dedup": simhash.documents_query,
         "op9_shard_placement": sharding.documents_query,
         "op10_licence_scan": licences.documents_query,

@@ -203,13 +203,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` whose key is its component's id; rows with that key repeated stay once,
-    rows with a null key go unless their component has no other (then one stays)."""
+    """One row of ``docs`` for each component: the one whose key is the component's id.
+
+    Of rows that share that key one stays; where all keys of a component are null, one of its
+    rows stays for all such components."""
     found = near_duplicates(docs, key, **options)
-    kept = (found.where(F.col(key).eqNullSafe(F.col("component_id")))
-            .select(F.col(key).alias("__key")).distinct())
-    once = docs.join(kept, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return once.dropDuplicates([key])
+    kept = written(found.where(F.col(key).eqNullSafe(F.col("component_id")))
+                   .groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
+    out = docs.join(kept, docs[key] == kept["__key"], "left_semi")
+    if not kept.where("__rows > 1 and __key is not null").isEmpty():
+        out = out.dropDuplicates([key])
+    if not kept.where("__key is null").isEmpty():
+        out = out.unionByName(docs.where(F.col(key).isNull()).limit(1))
+    return out
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
