@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import ann, langid, licences, linededup, mixing, packing, sharding, simhash
+from casework.llm import ann, imatch, langid, licences, linededup, mixing, packing, sharding, simhash, toolcalls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.documents_query,
         "op2_one_bit_neighbours": ann.embeddings_query,
+        "op3_imatch_fingerprints": imatch.documents_query,
         "op4_mix_sources": mixing.documents_query,
         "op5_language_id": langid.documents_query,
         "op6_fuzzy_lines": linededup.documents_query,
+        "op7_tool_calls": toolcalls.conversations_query,
         "op8_simhash_near_dedup": simhash.documents_query,
         "op9_shard_placement": sharding.documents_query,
         "op10_licence_scan": licences.documents_query,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_imatch_fingerprints": imatch.ORACLE_SQL,
         "op4_mix_sources": mixing.ORACLE_SQL,
         "op9_shard_placement": sharding.ORACLE_SQL,
         "op10_licence_scan": licences.ORACLE_SQL,
