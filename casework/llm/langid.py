@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 BLOCK = 1 << 18
+#: Code points of texts that are scored together.
+PART = 1 << 21
 MAX_LANGUAGES = 1000
 #: Labelled documents that are learned from, at most.
 MAX_TRAIN = 6000
@@ -68,6 +70,16 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Best language of each text and its posterior probability (0 for ``und``)."""
+        lang, score, part, held = [], [], [], 0
+        for t in [*texts, None]:                       # a bounded number of code points at once, or one text
+            if part and (held > PART or len(lang) + len(part) == len(texts)):
+                a, b = self._scores(part)
+                lang, score, part, held = lang + a, score + b, [], 0
+            part.append(t)
+            held += len(t or "")
+        return lang, score
+
+    def _scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         whole = [t or "" for t in texts]
         total = np.tile(self.log_prior, (len(whole), 1))
         hit = np.zeros(len(whole), bool)
