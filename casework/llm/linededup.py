@@ -212,8 +212,10 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     member = parts.join(exact, parts["node"] == exact["line_key"]).select("line_key", "component", "first")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     fuzzy = written(member.join(least, "component").select(F.col("line_key").alias("k"), "least"), "line-components")
-    best = exact.join(fuzzy, exact["line_key"] == fuzzy["k"], "left").select(
-        "line_key", F.coalesce("least", "first").alias("first"))
+    # A union has no partitioning, so both sides of the join to all lines get an exchange of
+    # their own and adaptive execution can split a line that a third of all documents hold.
+    best = (exact.join(fuzzy, exact["line_key"] == fuzzy["k"], "left_anti").select("line_key", "first")
+            .unionByName(fuzzy.select(F.col("k").alias("line_key"), F.col("least").alias("first"))))
     out = table.join(best, "line_key", "left")
     kept = F.col("line_key").isNull() | place.eqNullSafe(F.col("first"))
     return out.select("key", "version", "line_no", "line_key", F.col("first.key").alias("first_key"),
