@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from casework import lexicon
 
-WS_SPLIT = r"(?U)\s+"
+#: Python also counts the four separators U+001C to U+001F as white space.
+WS = r"[\s\x1c-\x1f]"
+WS_SPLIT = rf"(?U){WS}+"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -25,7 +27,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_c(col), rf"(?U)^{WS}+|{WS}+$", "")
 
 
 def words(col) -> Column:

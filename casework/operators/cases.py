@@ -86,14 +86,19 @@ def _latest(value: str, order: Column) -> Column:
 
 def fold_updates(updates: DataFrame, key: str = "case_id", ts_col: str = "ts",
                  tie_col: str = "event_id", fields: Sequence[str] = UPDATE_FIELDS) -> DataFrame:
-    """One row per case: latest non-empty value per field, last event time, count.
+    """One row per case: latest non-empty value per field, time of the last event
+    that changed a field (null: none did), number of events.
 
     A plain grouped aggregate (``max_by`` over ``(ts, tie)``): partial
     aggregation before the shuffle, one state row per case in streaming.
     """
     order = F.struct(F.col(ts_col), F.col(tie_col))
-    aggs = [_latest(f, order).alias(f) for f in fields if f in updates.columns]
-    return updates.groupBy(key).agg(*aggs, F.max(ts_col).alias("last_update"),
+    given = [f for f in fields if f in updates.columns]
+    aggs = [_latest(f, order).alias(f) for f in given]
+    changes = F.lit(False)
+    for f in given:
+        changes = changes | (F.coalesce(F.col(f), F.lit("")) != "")
+    return updates.groupBy(key).agg(*aggs, F.max(F.when(changes, F.col(ts_col))).alias("last_update"),
                                     F.count(F.lit(1)).cast("long").alias("n_updates"))
 
 
@@ -102,7 +107,7 @@ def apply_updates(base: DataFrame, updates: DataFrame, key: str = "case_id",
                   fields: Sequence[str] = UPDATE_FIELDS) -> DataFrame:
     """Current case state: base row overridden by the latest non-empty update per field.
 
-    ``updated_at`` moves to the last update (the source application left it
+    ``updated_at`` moves to the last event that changed a field (the source application left it
     unchanged; recorded as a deliberate difference).
     """
     folded = fold_updates(updates, key, ts_col, tie_col, fields).withColumnsRenamed(

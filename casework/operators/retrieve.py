@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions import text as T
-from casework.session import written
+from casework.session import read_if_present
 
 HIT_SCHEMA = "qid long, nid long, score double, rank int"
 RANK_DECIMALS = 9
@@ -215,25 +215,22 @@ def embed_with(df: DataFrame, id_col: str, text_col: str, embedder_factory: Call
 
 # -- case index (R2, R6, R7, S5, S11, O4, P8) ----------------------------------------------------
 
-INDEX_CAP = 10_000
 SNIPPET_CHARS = 200
 
 
-def index_rows(cases: DataFrame, cap: int | None = INDEX_CAP) -> DataFrame:
-    """Newest ``cap`` cases with text (bounded TakeOrdered), index metadata projection."""
+def index_rows(cases: DataFrame, newest_n: int | None = None) -> DataFrame:
+    """Index metadata and whole text of every case with a text; ``newest_n`` asks for the
+    newest that many only.  ``snippet`` is for display."""
     c = cases.where(F.col("complaint_text").isNotNull())
-    if cap:
+    if newest_n:
         from casework.operators.cases import newest
-        c = newest(c, cap, "created_at", "id")
+        c = newest(c, newest_n, "created_at", "id")
     blank = lambda x, d: F.coalesce(F.when(F.col(x) != "", F.col(x)), F.lit(d))
     out = c.select("id", "case_id", blank("category", "").alias("category"),
                    blank("severity", "").alias("severity"), blank("emotion", "").alias("emotion"),
                    blank("status", "open").alias("status"),
                    T.truncate("complaint_text", SNIPPET_CHARS).alias("snippet"), "complaint_text", "created_at")
-    # the index reads these rows twice (metadata, embedding); a capped set is at
-    # most ``cap`` rows, so it is written once to the shared checkpoint folder
-    # instead of re-running the scan and the top-k selection
-    return written(out, "index-rows") if cap else out
+    return out
 
 
 def build_index(rows: DataFrame, dim: int = 64) -> DataFrame:
@@ -241,8 +238,7 @@ def build_index(rows: DataFrame, dim: int = 64) -> DataFrame:
     vec = to_dense(hashed_embedding_long(rows, "case_id", "complaint_text", dim), "case_id", dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (rows.join(vec, "case_id", "left")
-                .withColumn("vector", F.coalesce(F.col("vector"), zero))
-                .drop("complaint_text"))
+                .withColumn("vector", F.coalesce(F.col("vector"), zero)))
 
 
 def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -250,20 +246,17 @@ def write_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_or_build(spark, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Saved snapshot if readable, otherwise rebuild and save."""
-    try:
-        df = spark.read.parquet(path)
-        df.schema  # noqa: B018 - force the footer read
+    """Saved snapshot, or a new one where there is none; any other read error is raised."""
+    df = read_if_present(spark, path)
+    if df is not None:
         return df
-    except Exception:  # noqa: BLE001 - absent or unreadable: rebuild
-        idx = build()
-        write_index(idx, path)
-        return spark.read.parquet(path)
+    write_index(build(), path)
+    return spark.read.parquet(path)
 
 
 def refresh_index(existing: DataFrame, cases: DataFrame, dim: int = 64) -> DataFrame:
     """Rows to append: cases with text not yet in the snapshot (anti-join on id)."""
-    new = index_rows(cases, cap=None).join(existing.select("id"), "id", "left_anti")
+    new = index_rows(cases).join(existing.select("id"), "id", "left_anti")
     return build_index(new, dim)
 
 

@@ -69,19 +69,16 @@ def _sql_prepare() -> str:
          f"coalesce(\"Complaint ID\", '') AS customer_id, CAST(\"Complaint ID\" AS BIGINT) AS _k "
          f"FROM raw_feed f JOIN {cm} m ON f.\"Product\" = m.product "
          f"WHERE {narr} IS NOT NULL AND length({S.py_strip(narr)}) >= 50")
-    s = ("SELECT p.* FROM p, (SELECT count(*) AS n, count(DISTINCT category) AS c FROM p) k "
-         "WHERE k.n <= 5000 OR p._k IN (SELECT _k FROM p QUALIFY row_number() OVER "
-         f"(PARTITION BY category ORDER BY {_md5_rank('_k')}, _k) <= 5000 // k.c)")
-    d = "SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY complaint_text ORDER BY _k) = 1"
+    d = "SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY complaint_text ORDER BY _k) = 1"
     return FX.with_views(
         "SELECT complaint_text, category, severity, emotion, location, channel, customer_id FROM d "
-        "WHERE length(complaint_text) BETWEEN 50 AND 2000",
-        names=["raw_feed"], ctes=[("p", p), ("s", s), ("d", d)])
+        "WHERE length(complaint_text) >= 50",
+        names=["raw_feed"], ctes=[("p", p), ("d", d)])
 
 
 def _prepared(spark, sf_dir):
     raw = FX.raw_feed(spark, sf_dir)
-    return I.prepare_feed(raw, limit=5000, order_col=F.col("`Complaint ID`").cast("long"),
+    return I.prepare_feed(raw, order_col=F.col("`Complaint ID`").cast("long"),
                           severity_tiers=FX.FIXTURE_SEVERITY_TIERS, emotion_tiers=FX.FIXTURE_EMOTION_TIERS)
 
 
@@ -95,13 +92,13 @@ def _sql_seed() -> str:
     # reuse the prepare CTEs, then the seed projection
     head, _, _tail = body.rpartition("SELECT complaint_text, category, severity, emotion")
     prepared = ("SELECT complaint_text, category, severity, emotion, location, channel, customer_id FROM d "
-                "WHERE length(complaint_text) BETWEEN 50 AND 2000")
+                "WHERE length(complaint_text) >= 50")
     t = S.py_strip("complaint_text")
 
     def opt(c):
         return f"CASE WHEN {S.py_strip(f'coalesce({c}, {chr(39)}{chr(39)})')} = '' THEN NULL ELSE {c} END"
 
-    seed = (f"SELECT 'seed-' || customer_id AS id, substr({t}, 1, 2000) AS complaint_text, "
+    seed = (f"SELECT 'seed-' || customer_id AS id, {t} AS complaint_text, "
             f"coalesce({opt('category')}, 'UX_ISSUES') AS category, coalesce({opt('severity')}, 'medium') AS severity, "
             f"coalesce({opt('emotion')}, 'frustrated') AS emotion, 'csv_upload' AS source, 'open' AS status, "
             f"{SQL_NOW} AS created_at, {SQL_NOW} AS updated_at, CAST(NULL AS VARCHAR) AS specific_issue, "
@@ -240,7 +237,7 @@ def _sql_latest(f: str) -> str:
     "coalesce(u.last_update, b.updated_at) AS updated_at, CAST(coalesce(u.n, 0) AS BIGINT) AS n_updates "
     "FROM base_cases b LEFT JOIN (SELECT case_id, "
     + ", ".join(f"{_sql_latest(f)} AS {f}" for f in C.UPDATE_FIELDS)
-    + ", max(ts) AS last_update, count(*) AS n FROM updates GROUP BY case_id) u ON b.case_id = u.case_id",
+    + ", max(ts) FILTER (WHERE " + " OR ".join(f"coalesce({f}, '') <> ''" for f in C.UPDATE_FIELDS) + ") AS last_update, count(*) AS n FROM updates GROUP BY case_id) u ON b.case_id = u.case_id",
     names=["updates", "base_cases"]))
 def apply_status(spark, sf_dir):
     return C.apply_updates(FX.base_cases(spark, sf_dir), FX.updates(spark, sf_dir))

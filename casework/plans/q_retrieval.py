@@ -154,20 +154,19 @@ def embed_cases(spark, sf_dir):
     return e.select("case_id", "dim_idx", F.round("value", 6).alias("value"))
 
 
-INDEX_COLS = ["id", "category", "severity", "emotion", "status", "snippet"]
+INDEX_COLS = ["id", "category", "severity", "emotion", "status", "snippet", "complaint_text"]
 
 
 def _sql_index_meta(src: str) -> str:
     return ("SELECT id, coalesce(nullif(category, ''), '') AS category, coalesce(nullif(severity, ''), '') AS severity, "
             "coalesce(nullif(emotion, ''), '') AS emotion, coalesce(nullif(status, ''), 'open') AS status, "
-            f"substr(complaint_text, 1, 200) AS snippet, {EMBED_DIM} AS vector_dim FROM {src}")
+            f"substr(complaint_text, 1, 200) AS snippet, complaint_text, {EMBED_DIM} AS vector_dim FROM {src}")
 
 
 @register("index_snapshot", lambda: FX.with_views(
-    _sql_index_meta("(SELECT * FROM cases WHERE complaint_text IS NOT NULL "
-                    f"ORDER BY created_at DESC, id LIMIT {R.INDEX_CAP})"), names=["cases"]))
+    _sql_index_meta("(SELECT * FROM cases WHERE complaint_text IS NOT NULL)"), names=["cases"]))
 def index_snapshot(spark, sf_dir):
-    """Build the newest-10,000 case index, persist it, read it back (metadata + dims)."""
+    """Index every case with a text, persist it, read it back (metadata + dims)."""
     path = scratch_path(spark, "case_index")
     idx = R.load_or_build(spark, path, lambda: R.build_index(R.index_rows(FX.cases(spark, sf_dir)), EMBED_DIM))
     return idx.select(*INDEX_COLS, F.size("vector").cast("int").alias("vector_dim"))
@@ -175,8 +174,8 @@ def index_snapshot(spark, sf_dir):
 
 @register("index_increment", lambda: FX.with_views(
     _sql_index_meta("(SELECT * FROM cases WHERE complaint_text IS NOT NULL AND id NOT IN ("
-                    f"SELECT id FROM cases WHERE complaint_text IS NOT NULL AND created_at < TIMESTAMP '{INCREMENT_AS_OF}' "
-                    f"ORDER BY created_at DESC, id LIMIT {R.INDEX_CAP}))"), names=["cases"]))
+                    f"SELECT id FROM cases WHERE complaint_text IS NOT NULL AND created_at < TIMESTAMP '{INCREMENT_AS_OF}'))"),
+    names=["cases"]))
 def index_increment(spark, sf_dir):
     """Snapshot as of a time, then append the cases it has not seen (anti-join on id)."""
     cases = FX.cases(spark, sf_dir)

@@ -54,7 +54,8 @@ def stream_triage(spark, sf_dir):
 def _sql_fold() -> str:
     latest = ", ".join(f"arg_max({f}, ts) FILTER (WHERE {f} IS NOT NULL AND {f} <> '') AS {f}"
                        for f in C.UPDATE_FIELDS)
-    return FX.with_views(f"SELECT case_id, {latest}, max(ts) AS last_update, count(*) AS n_updates "
+    changed = " OR ".join(f"coalesce({f}, '') <> ''" for f in C.UPDATE_FIELDS)
+    return FX.with_views(f"SELECT case_id, {latest}, max(ts) FILTER (WHERE {changed}) AS last_update, count(*) AS n_updates "
                          "FROM updates GROUP BY case_id", names=["updates"])
 
 

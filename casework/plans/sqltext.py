@@ -15,7 +15,7 @@ from casework.sources.fixtures import sql_str
 
 
 def words(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({expr}, ''), '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({expr}, ''), '[\\s\\x1c-\\x1f]+'), lambda w: w <> '')"
 
 
 def word_count(expr: str) -> str:
@@ -27,7 +27,7 @@ def char_count(expr: str) -> str:
 
 
 def py_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({expr}, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')"
 
 
 def prefix_word_any(expr: str, ws) -> str:

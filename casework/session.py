@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every job in the package.  Shuffle partitions are
@@ -91,6 +92,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if nothing is there; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
 
 

@@ -39,10 +39,10 @@ def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str] | No
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """Case upload: ``.csv`` only, ``complaint_text`` required, rows without text dropped."""
     if not path.rstrip("/").endswith(".csv"):
-        raise ValueError("Only CSV files are accepted")
+        raise ValueError(f"{path}: an upload is a .csv file")
     cols = _header(spark, path)
     if "complaint_text" not in cols:
-        raise ValueError("CSV must contain a 'complaint_text' column")
+        raise ValueError(f"{path}: no complaint_text column among {cols}")
     df = read_csv_strings(spark, path, cols)
     for c in UPLOAD_OPTIONAL:
         if c not in cols:

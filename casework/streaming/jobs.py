@@ -21,7 +21,7 @@ from casework.operators import cases as C
 from casework.operators import labels as L
 from casework.operators import retrieve as R
 from casework.operators import validate as V
-from casework.session import scratch_path
+from casework.session import read_if_present, scratch_path
 
 
 def feed_slices(df: DataFrame, path: str, n_slices: int,
@@ -135,10 +135,8 @@ def run_available(query_builder, name: str, spark: SparkSession,
 
 
 def _read_versions(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no batch produced output
-        return None
+    """What the batches so far have written; None before the first output."""
+    return read_if_present(spark, path)
 
 
 # -- ST1: triage -----------------------------------------------------------------------------
@@ -218,7 +216,7 @@ def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path:
     """Embed only cases the index has not seen and append them (anti-join per batch)."""
     def refresh(batch: DataFrame, batch_id: int) -> None:
         existing = _read_versions(spark, index_path)
-        rows = R.index_rows(batch, cap=None)
+        rows = R.index_rows(batch)
         if existing is not None:
             # earlier batches only: a replayed batch rewrites its own folder in full
             rows = rows.join(existing.where(F.col("batch") < batch_id).select("id"), "id", "left_anti")

@@ -119,3 +119,20 @@ def test_newest_matches_plain_sort(spark):
     want = [r[0] for r in df.orderBy(F.col("created_at").desc(), "id").limit(7).select("id").collect()]
     assert [r[0] for r in C.newest(df, 7).select("id").collect()] == want
     assert C.newest(df, 100).count() == 40
+
+
+def test_updated_at_moves_only_with_a_change(spark):
+    from casework.operators import cases as C
+    base = spark.createDataFrame([("a", "open", 1), ("b", "open", 1)], "case_id string, status string, updated_at int")
+    ups = spark.createDataFrame([("a", "", 5, 1), ("a", "closed", 3, 2), ("b", None, 9, 3)],
+                                "case_id string, status string, ts int, event_id int")
+    got = {r.case_id: (r.status, r.updated_at, r.n_updates) for r in C.apply_updates(base, ups, fields=["status"]).collect()}
+    assert got == {"a": ("closed", 3, 2), "b": ("open", 1, 1)}
+
+
+def test_every_case_is_indexed_with_its_whole_text(spark):
+    from casework.operators import retrieve as R
+    df = spark.range(10_050).selectExpr("id", "cast(id as string) case_id", "'' category", "'' severity", "'' emotion", "'' status",
+                                        "repeat('word ', 100) complaint_text", "timestamp_seconds(id) created_at")
+    rows = R.index_rows(df)
+    assert rows.count() == 10_050 and rows.first().complaint_text == "word " * 100

@@ -98,3 +98,21 @@ def test_prepare_feed_without_product_column(spark):
                                 "narrative string, `Consumer disputed?` string, `Timely response?` string")
     out = rows(I.prepare_feed(raw, limit=0), "category", "severity")
     assert out == [("UX_ISSUES", "medium")]
+
+
+def test_null_strata_are_sampled_and_split_like_any_other(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(100)], "id long, g string")
+    split = SM.stratified_split(df, "g", "id", 20)
+    got = {(r.g, r.split): r["count"] for r in split.groupBy("g", "split").count().collect()}
+    assert got == {("a", "test"): 10, ("a", "train"): 40, (None, "test"): 10, (None, "train"): 40}
+    small = {(r.g): r["count"] for r in SM.stratified_sample(df, "g", 99, "id").groupBy("g").count().collect()}
+    assert small == {"a": 49, None: 49}
+    assert SM.stratified_sample(df, "g", 1000, "id").count() == 100
+
+
+def test_long_texts_are_kept_whole(spark):
+    text = "a long story about a card and a branch " * 200
+    raw = spark.createDataFrame([(text, "Credit card", "1")], "`Consumer complaint narrative` string, `Product` string, `Complaint ID` string")
+    prepared = I.prepare_feed(raw)
+    assert [r.complaint_text for r in prepared.collect()] == [text.strip()]
+    assert [r.complaint_text for r in I.seed_cases(prepared).collect()] == [text.strip()]

@@ -79,3 +79,10 @@ def test_fill_labels_supplied_win_blank_predicted_else_default(spark):
                                "category string, severity string, emotion string, ps string, pe string")
     out = rows(L.fill_labels(df, {"severity": "ps", "emotion": "pe"}), "category", "severity", "emotion")
     assert out == [("ATM_FAILURE", "high", "angry"), ("UNKNOWN", "medium", "neutral")]
+
+
+def test_separators_count_as_white_space(spark):
+    from casework.functions import text as T
+    df = spark.createDataFrame([("a\x1cb",), ("\x1f a b \x1d",)], "t string")
+    got = [tuple(r) for r in df.select(T.word_count("t"), T.py_strip("t")).collect()]
+    assert got == [(len(t.split()), t.strip()) for t in ("a\x1cb", "\x1f a b \x1d")]
