@@ -185,7 +185,8 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     cands = written(keyed.select("h", first.alias("x"), last.alias("y")).where("x <> y")
                     .select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
     texts = (handled.join(cands.select("h").distinct(), "h", "left_semi")
-             .groupBy("h", F.unhex(F.md5("norm")).alias("line_key")).agg(F.first("norm").alias("norm")))
+             .groupBy(F.unhex(F.md5("norm")).alias("line_key"))       # not by h: the join can then split a hot line
+             .agg(F.first("h").alias("h"), F.first("norm").alias("norm")))
     grouped = cands.join(texts, "h").select("gid", "line_key", "norm")
     sizes = cands.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     if not sizes.where(F.col("n") > bucket).isEmpty():
