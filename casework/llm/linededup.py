@@ -184,9 +184,10 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     first, last = F.min("h").over(band), F.max("h").over(band)
     cands = written(keyed.select("h", first.alias("x"), last.alias("y")).where("x <> y")
                     .select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
-    texts = (handled.join(cands.select("h").distinct(), "h", "left_semi")
-             .groupBy(F.unhex(F.md5("norm")).alias("line_key"))       # not by h: the join can then split a hot line
-             .agg(F.first("h").alias("h"), F.first("norm").alias("norm")))
+    # Distinct by text, not by handle: equal lines shrink to one a task before the next exchange,
+    # and the join has an exchange right below both sides, so a hot line can be split.
+    texts = (handled.join(cands.select("h").hint("shuffle_hash"), "h", "left_semi").select("norm").distinct()
+             .select(F.xxhash64("norm").alias("h"), F.unhex(F.md5("norm")).alias("line_key"), "norm"))
     grouped = cands.join(texts, "h").select("gid", "line_key", "norm")
     sizes = cands.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     if not sizes.where(F.col("n") > bucket).isEmpty():
