@@ -105,21 +105,51 @@ def banded(bands: int, rows: int, shingle: int):
     return run
 
 
-def shingles(text: str, size: int) -> set[str]:
-    return {text[i:i + size] for i in range(len(text) - size + 1)} or {text}
-
-
-def reach(sets: list[set[str]], similarity: float) -> list[tuple[int, int]]:
-    """Links of a walk over the sets that spans every component at ``similarity``."""
-    if len(sets) == 2:
-        a, b = sets
-        both = len(a & b)
-        return [(0, 1)] if both >= similarity * (len(a) + len(b) - both) else []
-    number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(s, len(number)) for s in x]) for x in sets]
-    sizes = np.array([len(x) for x in ids])
+def numbered(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as sorted numbers, one text after the other, and how many each
+    has.  Within a call numbers are equal where shingles are, and only there."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    padded = np.maximum(lengths, size)
+    points = np.frombuffer("".join(t.ljust(size, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.flatnonzero(np.bincount(points))
+    rank = np.zeros(int(used[-1]) + 1, np.uint64)
+    rank[used] = np.arange(len(used), dtype=np.uint64)
+    points = rank[points]
+    counts = padded - size + 1
+    starts = np.cumsum(counts) - counts
+    m = len(points) - size + 1
+    code, top = np.zeros(m, np.uint64), 1
+    for j in range(size):
+        if top * len(used) >= 1 << 60:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            top = int(code.max()) + 1
+        code *= np.uint64(len(used))
+        code += points[j:j + m]
+        top *= len(used)
+    keep = np.ones(m + size, bool)                     # without those that run over a text's end
+    for j in range(1, size):
+        keep[(np.cumsum(padded) - size + j)[:-1]] = False
+    code = code[keep[:m]]
+    if int(lengths.min()) < size:                      # padding is no text
+        if top * (size + 1) >= 1 << 64:
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+        code *= np.uint64(size + 1)
+        code += np.repeat(np.minimum(lengths, size), counts).astype(np.uint64)
+    for s, n in zip(starts.tolist(), counts.tolist()):
+        code[s:s + n].sort()
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = code[1:] != code[:-1]
+    fresh[starts] = True
+    return code[fresh], np.add.reduceat(fresh.astype(np.int64), starts)
+
+
+def reach(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a walk over sets of numbers (``sizes`` of them, one after the other in ``flat``) that
+    spans every component at ``similarity``."""
+    names, flat = np.unique(flat, return_inverse=True)
+    ids = np.split(flat, np.cumsum(sizes)[:-1])
     links, left = [], np.arange(len(ids))
-    flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes) - sizes
     here, front = left, []                             # ``flat`` holds the lines ``here``
     while len(left):
         if not front:
@@ -131,7 +161,7 @@ def reach(sets: list[set[str]], similarity: float) -> list[tuple[int, int]]:
             flat = np.concatenate([ids[i] for i in here])
             starts = np.cumsum(sizes[here]) - sizes[here]
         at = front.pop()
-        flag = np.zeros(len(number), np.int32)
+        flag = np.zeros(len(names), np.int32)
         flag[ids[at]] = 1
         both = np.add.reduceat(flag[flat], starts)
         near = here[both >= similarity * (sizes[here] + sizes[at] - both)]
@@ -142,23 +172,47 @@ def reach(sets: list[set[str]], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
+def group_links(texts: list[str], groups: list[int], similarity: float, shingle: int) -> list[tuple[int, int]]:
+    """Links (positions in ``texts``) within groups of texts that stand in a row, ``groups`` of them each."""
+    flat, sizes = numbered(texts, shingle)
+    starts = np.cumsum(sizes) - sizes
+    links, at = [], 0
+    for n in groups:
+        s = int(starts[at])
+        if n == 2:
+            both = np.sort(flat[s:s + int(sizes[at] + sizes[at + 1])], kind="stable")
+            shared = np.count_nonzero(both[1:] == both[:-1])
+            if shared >= similarity * (len(both) - shared):
+                links.append((at, at + 1))
+        elif n > 2:
+            size = sizes[at:at + n]
+            links += [(at + i, at + j) for i, j in reach(flat[s:s + int(size.sum())], size, similarity)]
+        at += n
+    return links
+
+
 def verified(similarity: float, shingle: int):
-    """Arrow function: rows (gid, line_key, norm) sorted by gid -> links (a, b) of line keys."""
+    """Arrow function: rows (gid, line_key, norm) sorted by gid -> links (a, b) of line keys.
+
+    Groups are compared some at a time: together about ``CHUNK`` code points, or one group."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "gid"):
             starts, sizes = spans(table["gid"].to_numpy())
-            keys, norms = table["line_key"].to_pylist(), table["norm"].to_pylist()
-            pairs = []
-            for s, n in zip(starts.tolist(), sizes.tolist()):
-                group = dict(zip(keys[s:s + n], norms[s:s + n]))
-                if len(group) > 1:
-                    names = list(group)
-                    found = reach([shingles(t, shingle) for t in group.values()], similarity)
-                    pairs += [(names[i], names[j]) for i, j in found]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()),
-                                              pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
+            length = np.add.reduceat(pc.utf8_length(table["norm"]).to_numpy().astype(np.int64), starts)
+            ends = np.cumsum(length)
+            first = 0
+            while first < len(starts):
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+                part = table.slice(starts[first], sizes[first:last].sum())
+                pairs = group_links(part["norm"].to_pylist(), sizes[first:last].tolist(), similarity, shingle)
+                keys = part["line_key"]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array([p[end] for p in pairs], pa.int64())).combine_chunks().cast(pa.binary())
+                     for end in (0, 1)], schema=schema)
+                first = last
 
     return run
 

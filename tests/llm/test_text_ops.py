@@ -97,6 +97,37 @@ def test_simhash_links_span_dense_groups(spark, cut, take):
         simhash.choices(2, 1, 4)
 
 
+def shingles(text, size):
+    return {text[i:i + size] for i in range(len(text) - size + 1)} or {text}
+
+
+def test_shingle_numbers_are_exact():
+    rng = np.random.default_rng(3)
+    texts = ["ab", "ab\0\0\0", "ab\0", "a", "\0", "abcabcabcabc", "x" * 40, "\U0001F600\u2019\u00e9" * 9]
+    texts += ["".join(rng.choice(list("ab\0"), n)) for n in range(1, 30)]
+    texts += ["".join(map(chr, rng.integers(0x100, 0x9000, 9000))), "".join(map(chr, rng.integers(0x100, 0x120, 500)))]
+    for size in (1, 3, 5, 9):
+        sets = [shingles(t, size) for t in texts]
+        flat, sizes = linededup.numbered(texts, size)
+        assert sizes.tolist() == [len(x) for x in sets]
+        got = [set(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        assert all(len(got[i] & got[j]) == len(sets[i] & sets[j]) for i in range(len(sets)) for j in range(i + 1))
+
+
+def test_groups_of_lines_link_as_brute_force():
+    rng = np.random.default_rng(4)
+    texts, groups = [], []
+    for n in (1, 2, 2, 2, 5, 2, 1, 3, 40):
+        base = "".join(rng.choice(list("abcdefgh "), 60))
+        texts += [base[:k] + "#" * int(rng.integers(1, 5)) + base[k:] for k in rng.integers(0, 60, n)]
+        groups.append(n)
+    sets, of = [shingles(t, 5) for t in texts], np.repeat(range(len(groups)), groups)
+    true = [(i, j) for i in range(len(sets)) for j in range(i)
+            if of[i] == of[j] and len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j])]
+    found = linededup.group_links(texts, groups, .8, 5)
+    assert union_find(len(sets), found) == union_find(len(sets), true) and set(map(frozenset, found)) <= set(map(frozenset, true))
+
+
 def test_fuzzy_lines_match_brute_force(spark):
     rows = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").select("doc_id", "text").collect()
     first = {}
@@ -106,7 +137,7 @@ def test_fuzzy_lines_match_brute_force(spark):
             if line:
                 first.setdefault(line, (r.doc_id, n))
     texts = list(first)
-    sets = [linededup.shingles(t, 5) for t in texts]
+    sets = [shingles(t, 5) for t in texts]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i)
              if min(len(sets[i]), len(sets[j])) >= .8 * max(len(sets[i]), len(sets[j]))
              and len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j])]
@@ -121,9 +152,11 @@ def test_fuzzy_lines_match_brute_force(spark):
 def test_walk_over_large_buckets_spans_all_links():
     rng = np.random.default_rng(1)
     base = ["".join(rng.choice(list("abcdefgh "), 150)) for _ in range(6)]
-    sets = [linededup.shingles(b[:k] + c + b[k + 1:], 5) for b in base for c in "xyz" for k in (0, 60, 149)]
+    sets = [shingles(b[:k] + c + b[k + 1:], 5) for b in base for c in "xyz" for k in (0, 60, 149)]
     true = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= .8 * len(sets[i] | sets[j])]
-    walk = linededup.reach(sets, .8)
+    number = {s: n for n, s in enumerate(sorted(set().union(*sets)))}
+    flat = np.array([number[s] for x in sets for s in sorted(x)])
+    walk = linededup.reach(flat, np.array([len(x) for x in sets]), .8)
     assert union_find(len(sets), walk) == union_find(len(sets), true) and len(walk) < len(true)
 
 
