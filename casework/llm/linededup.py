@@ -46,8 +46,9 @@ def normal(line: str) -> Column:
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, version, line_no, line): lines of every document; ``version`` tells texts of one key apart."""
-    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("version"),
-                       F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    split = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("version"),   # once a text, not a line
+                        F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("split"))
+    return split.select("key", "version", F.posexplode("split").alias("line_no", "line"))
 
 
 def band_keys(texts: list[str], sizes: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
