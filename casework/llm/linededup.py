@@ -266,8 +266,9 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     exact = written(table.where(F.col("line_key").isNotNull()).groupBy("line_key").agg(F.min(place).alias("first")),
                     "line-groups")
     parts = components(line_links(docs, key, text, **options))
-    member = parts.join(exact, parts["node"] == exact["line_key"]).select("line_key", "component", "first")
-    least = member.groupBy("component").agg(F.min("first").alias("least"))
+    member = written(parts.join(exact, parts["node"] == exact["line_key"]).select("line_key", "component", "first"),
+                     "line-members")
+    least = written(member.groupBy("component").agg(F.min("first").alias("least")), "line-least")
     fuzzy = written(member.join(least, "component").select(F.col("line_key").alias("k"), "least"), "line-components")
     # A union has no partitioning, so both sides of the join to all lines get an exchange of
     # their own and adaptive execution can split a line that a third of all documents hold.
