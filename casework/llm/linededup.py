@@ -34,7 +34,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 6
 #: Code points whose shingles are hashed at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Lines of a bucket that one task compares.
 BUCKET = 4000
 _SEED = 42
@@ -79,10 +79,14 @@ def band_keys(texts: list[str], sizes: np.ndarray, bands: int, rows: int, shingl
             keep[(begin + counts + j - 1)[:-1]] = False
         x = x[keep[:len(x)]]
         starts = np.cumsum(counts) - counts
+        y = np.empty_like(x)
         for band in range(bands):
             key = np.full(last - first, band + 1, np.uint64)
             for r in range(band * rows, band * rows + rows):
-                key = (key ^ np.minimum.reduceat(x * factor[r] + shift[r], starts)) * np.uint64(0x9E3779B97F4A7C15)
+                np.multiply(x, factor[r], out=y)
+                np.add(y, shift[r], out=y)
+                key ^= np.minimum.reduceat(y, starts)
+                key *= np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
             out[band, first:last] = key
         first = last
