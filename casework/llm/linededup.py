@@ -40,8 +40,12 @@ BUCKET = 4000
 _SEED = 42
 
 
+def bare(line: str) -> Column:
+    return F.btrim(F.col(line), F.lit(" \t\r\x0b\x0c"))
+
+
 def normal(line: str) -> Column:
-    return F.lower(F.btrim(F.col(line), F.lit(" \t\r\x0b\x0c")))
+    return F.lower(bare(line))
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -236,7 +240,7 @@ def deal(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
 def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between digests of different lines that span every component of them."""
-    norm = lines(docs, key, text).select(normal("line").alias("norm")).where("norm <> ''")
+    norm = lines(docs, key, text).where(bare("line") != "").select(normal("line").alias("norm"))
     handled = norm.select(F.xxhash64("norm").alias("h"), "norm")
     keyed = handled.mapInArrow(banded(bands, rows, shingle), "band long, h long")
     band = Window.partitionBy("band")
