@@ -19,6 +19,7 @@ the first by (document, line number).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 6
 #: Code points whose shingles are hashed at once.
 CHUNK = 1 << 17
+#: Groups up to this size are compared pair by pair, larger ones as a walk.
+FEW = 6
 #: Lines of a bucket that one task compares.
 BUCKET = 4000
 _SEED = 42
@@ -187,13 +190,19 @@ def group_links(texts: list[str], groups: list[int], similarity: float, shingle:
     starts = np.cumsum(sizes) - sizes
     links, at = [], 0
     for n in groups:
-        s = int(starts[at])
-        if n == 2:
-            both = np.sort(flat[s:s + int(sizes[at] + sizes[at + 1])], kind="stable")
-            shared = np.count_nonzero(both[1:] == both[:-1])
-            if shared >= similarity * (len(both) - shared):
-                links.append((at, at + 1))
-        elif n > 2:
+        if n <= FEW:
+            part = {i: flat[starts[i]:starts[i] + sizes[i]] for i in range(at, at + n)}
+            label = {i: i for i in part}
+            for i, j in combinations(part, 2):
+                a, b = len(part[i]), len(part[j])
+                if label[i] != label[j] and min(a, b) >= similarity * max(a, b):
+                    both = np.sort(np.concatenate((part[i], part[j])))
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                    if shared >= similarity * (a + b - shared):
+                        links.append((i, j))
+                        label = {k: label[i] if x == label[j] else x for k, x in label.items()}
+        else:
+            s = int(starts[at])
             size = sizes[at:at + n]
             links += [(at + i, at + j) for i, j in reach(flat[s:s + int(size.sum())], size, similarity)]
         at += n
