@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm.blocks import spans, whole_groups
@@ -182,6 +182,16 @@ def links(fps: DataFrame, max_bits: int = 4, cut: int = 3, take: int = 1, bucket
     return found.distinct()
 
 
+def groups(rows: DataFrame, first: Column, max_bits: int, cut: int, take: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Components of ``rows`` (fp and the columns of ``first``): (fp, component), one row for each
+    fingerprint, and (component, least), the least ``first`` of its rows."""
+    fps = written(rows.groupBy("fp").agg(F.min(first).alias("least")), "simhash-fps")
+    parts = components(links(fps.select("fp"), max_bits, cut, take, bucket))
+    named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp"))
+    return named.select("fp", "component"), named.groupBy("component").agg(F.min("least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4,
                     max_bits: int = 4, cut: int = 3, take: int = 1, bucket: int = BUCKET) -> DataFrame:
     """(key, fingerprint, component_id), one row for each row of ``docs``.
@@ -192,30 +202,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows stay; an empty table gives an empty result.
     """
     rows = written(docs.select(F.col(key).alias("key"), fingerprints(docs, text, words).alias("fp")), "simhash")
-    fps = written(rows.groupBy("fp").agg(F.min("key").alias("least")), "simhash-fps")
-    parts = components(links(fps.select("fp"), max_bits, cut, take, bucket))
-    named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("fp", "component_id")
+    named, least = groups(rows, F.col("key"), max_bits, cut, take, bucket)
+    ids = named.join(least, "component").select("fp", F.col("least").alias("component_id"))
     return rows.join(ids, "fp").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of ``docs`` for each component: the one whose key is the component's id.
-
-    Of rows that share that key one stays; where all keys of a component are null, one of its
-    rows stays for all such components."""
-    found = near_duplicates(docs, key, **options)
-    kept = written(found.where(F.col(key).eqNullSafe(F.col("component_id")))
-                   .groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
-    out = docs.join(kept, docs[key] == kept["__key"], "left_semi")
-    if not kept.where("__rows > 1 and __key is not null").isEmpty():
-        out = out.dropDuplicates([key])
-    if not kept.where("__key is null").isEmpty():
-        out = out.unionByName(docs.where(F.col(key).isNull()).limit(1))
-    return out
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4,
+             cut: int = 3, take: int = 1, bucket: int = BUCKET, unique: bool = True) -> DataFrame:
+    """One row of ``docs`` for each component: its least by (key, digest of the text), null keys last.
+
+    A row is known by key and digest, so a key may stand in several components and null keys are
+    kept apart; of rows equal in both one stays.  With ``unique``, of components whose least rows
+    share a key that is not null only one is kept: no key comes twice, but a text may be lost."""
+    digest = F.unhex(F.md5(F.col(text)))
+    rows = written(docs.select(F.col(key).alias("key"), digest.alias("digest"),
+                               fingerprints(docs, text, words).alias("fp")), "simhash")
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "digest")
+    least = groups(rows, first, max_bits, cut, take, bucket)[1].select("least.key", "least.digest")
+    if unique:
+        least = (least.where("key is not null").groupBy("key").agg(F.min("digest").alias("digest"))
+                 .unionByName(least.where("key is null")))
+    least = least.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
+
+    def known(key: Column, digest: Column) -> Column:
+        return key.eqNullSafe(F.col("__key")) & digest.eqNullSafe(F.col("__digest"))
+
+    kept = written(rows.join(least, known(rows["key"], rows["digest"]))
+                   .groupBy("__key", "__digest").agg(F.count(F.lit(1)).alias("__rows")), "simhash-kept")
+    again = kept.where("__rows > 1")
+    if again.isEmpty():
+        return docs.join(kept, known(docs[key], digest), "left_semi")
+    once = docs.join(kept.where("__rows = 1"), known(docs[key], digest), "left_semi")
+    more = docs.join(again, known(docs[key], digest), "left_semi").withColumn("__digest", digest)
+    return once.unionByName(more.dropDuplicates([key, "__digest"]).drop("__digest"))
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """One document of each SimHash group, whatever its doc_id (null and shared ones stand for no other text)."""
+    return simhash.keep_one(docs, unique=False).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from casework.llm import components as CC
 from casework.llm import imatch, langid, linededup, simhash
 
 from ..conftest import SF_CHECK, SF_SMOKE
-from .conftest import LONG, ODD
+from .conftest import LONG, ODD, SCHEMA, row
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,6 +81,20 @@ def test_simhash_odd_rows(spark, odd, none):
     assert len(ids) == len(set(ids))
 
 
+def test_near_dedup_keeps_exactly_one_row_of_every_group(spark):
+    import corpus_pipeline
+    table = ODD + [row(None, "quite some other words that have no id either"), row(None, "été à la mer \U0001F600 naïve"),
+                   row(None, "a text without an id"), row(0, "another text under the same id"),
+                   row(0, "a third text, of an id that heads two groups"), row(None, None)]
+    fps = [brute_fingerprint(r[1]) for r in table]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    group = {r[:2]: g for r, g in zip(table, union_find(len(fps), pairs))}
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(table, SCHEMA), SF_SMOKE).collect()
+    assert sorted(group[(r.doc_id, r.text)] for r in kept) == sorted(set(group.values()))
+    least = {g: min((k for (k, _), x in group.items() if x == g and k is not None), default=None) for g in group.values()}
+    assert all(r.doc_id == least[group[(r.doc_id, r.text)]] for r in kept)
+
+
 @pytest.mark.parametrize("cut,take", [(3, 1), (5, 2)])
 def test_simhash_links_span_dense_groups(spark, cut, take):
     rng = np.random.default_rng(3)
