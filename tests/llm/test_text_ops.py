@@ -142,6 +142,24 @@ def test_groups_of_lines_link_as_brute_force():
     assert union_find(len(sets), found) == union_find(len(sets), true) and set(map(frozenset, found)) <= set(map(frozenset, true))
 
 
+def test_bands_find_nearly_every_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    texts = []
+    while len(texts) < 8000:
+        base = "".join(rng.choice(list("abcdefghijklmnop "), 120))
+        near = base
+        for _ in range(3):
+            k = int(rng.integers(0, len(near)))
+            near = near[:k] + "#" + near[k + 1:]
+        a, b = shingles(base, 5), shingles(near, 5)
+        if .8 <= len(a & b) / len(a | b) < .82:
+            texts += [base, near]
+    sizes = np.array([len(t) for t in texts])
+    keys = linededup.band_keys(texts, sizes, linededup.BANDS, linededup.ROWS, linededup.SHINGLE)
+    found = (keys[:, ::2] == keys[:, 1::2]).any(axis=0).mean()
+    assert found >= .998, found
+
+
 def test_fuzzy_lines_match_brute_force(spark):
     rows = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").select("doc_id", "text").collect()
     first = {}
