@@ -195,7 +195,9 @@ def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_
                keys: tuple[str, ...] = (), window: str = "1 day", watermark: str = "1 hour",
                feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Event-time counts per window; events later than the watermark are dropped.
-    Update mode: every trigger writes the windows it changed."""
+    Update mode: every trigger writes the windows it changed.  Events without a time are
+    counted under a null window, by a second query without state (``F.window`` drops them)
+    whose batches' counts are summed, run when all is delivered."""
     s = _source(spark, source_path, schema, feed).withColumn("_ts", F.col(ts_col).cast("timestamp"))
     agg = (s.withWatermark("_ts", watermark)
              .groupBy(F.window("_ts", window).alias("w"), *keys)
@@ -203,10 +205,14 @@ def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_
              .select(F.col("w.start").alias("window_start"), *keys, "n"))
     run_available(agg.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)), "volume", spark,
                   feed)
+    untimed = file_stream(spark, source_path, schema, None).where(F.col(ts_col).cast("timestamp").isNull())
+    sink = _versioned_sink(out_path, lambda batch: {"untimed": batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))})
+    run_available(untimed.writeStream.foreachBatch(sink), "volume-untimed", spark)
     v = _read_versions(spark, f"{out_path}/out")
-    key = F.concat_ws("|", F.col("window_start").cast("string"), *[F.col(k) for k in keys])
-    latest = latest_version(v.withColumn("_k", key), "_k")
-    return latest.drop("_k")
+    found = (_read_versions(spark, f"{out_path}/untimed").groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+             .select(F.lit(None).cast("timestamp").alias("window_start"), *keys, "n"))
+    latest = latest_version(v.withColumn("_k", F.struct("window_start", *keys)), "_k")
+    return latest.drop("_k").unionByName(found)
 
 
 # -- ST4: index refresh per micro-batch -----------------------------------------------------------

@@ -65,3 +65,23 @@ def test_fed_deliveries_are_whole_micro_batches(spark):
                        feed=rest)
     got = {str(r["window_start"])[:10]: r["n"] for r in out.collect()}
     assert got == {"2024-01-01": 2, "2024-01-03": 2, "2024-01-05": 1}
+
+
+def test_volume_counts_events_without_a_time(spark):
+    src = scratch_path(spark, "t-null")
+    batches = [
+        [(1, 1, "2024-01-01 10:00:00", "a"), (2, 1, None, "a"), (3, 1, None, None)],
+        [(4, 1, "2024-01-01 11:00:00", None), (5, 1, None, "a")],
+    ]
+
+    def deliver(b):
+        return lambda: _events(spark, b).write.mode("append").parquet(src)
+    first, *rest = [deliver(b) for b in batches]
+    first()
+    schema = spark.read.parquet(src).schema
+    for keys, want in ((("status",), {("2024-01-01", "a"): 1, ("2024-01-01", None): 1, (None, "a"): 2, (None, None): 1}),
+                       ((), {("2024-01-01",): 2, (None,): 3})):
+        out = J.run_volume(spark, src, schema, scratch_path(spark, "t-null-out"), "ts", keys, feed=rest)
+        rest = []
+        got = {(r["window_start"] and str(r["window_start"])[:10], *[r[k] for k in keys]): r["n"] for r in out.collect()}
+        assert got == want
