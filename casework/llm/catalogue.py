@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import ann, imatch, langid, licences, linededup, mixing, packing, sharding, simhash, toolcalls
+from casework.llm import (ann, centroids, imatch, langid, licences, linededup, mixing, packing, sharding, simhash,
+                          toolcalls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": simhash.documents_query,
         "op9_shard_placement": sharding.documents_query,
         "op10_licence_scan": licences.documents_query,
+        "op11_ptolemaic_clusters": centroids.embeddings_query,
     }
 
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.ORACLE_SQL,
         "op9_shard_placement": sharding.ORACLE_SQL,
         "op10_licence_scan": licences.ORACLE_SQL,
+        "op11_ptolemaic_clusters": centroids.ORACLE_SQL,
     }
