@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import (ann, centroids, imatch, langid, licences, linededup, mixing, packing, sharding, simhash,
-                          toolcalls)
+from casework.llm import (ann, centroids, imatch, langid, licences, linededup, mixing, packing, prefixtrie, sharding,
+                          simhash, toolcalls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_shard_placement": sharding.documents_query,
         "op10_licence_scan": licences.documents_query,
         "op11_ptolemaic_clusters": centroids.embeddings_query,
+        "op12_prefix_trie": prefixtrie.conversations_query,
     }
 
 
