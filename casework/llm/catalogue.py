@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import (ann, centroids, imatch, langid, licences, linededup, mixing, packing, prefixtrie, sharding,
-                          simhash, toolcalls)
+from casework.llm import (ann, centroids, decontaminate, imatch, langid, licences, linededup, mixing, packing,
+                          prefixtrie, sharding, simhash, toolcalls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_licence_scan": licences.documents_query,
         "op11_ptolemaic_clusters": centroids.embeddings_query,
         "op12_prefix_trie": prefixtrie.conversations_query,
+        "op13_benchmark_leaks": decontaminate.documents_query,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_shard_placement": sharding.ORACLE_SQL,
         "op10_licence_scan": licences.ORACLE_SQL,
         "op11_ptolemaic_clusters": centroids.ORACLE_SQL,
+        "op13_benchmark_leaks": decontaminate.ORACLE_SQL,
     }
