@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 BLOCK = 1 << 18
 #: Code points of texts that are scored together.
 PART = 1 << 21
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 #: Labelled documents that are learned from, at most.
 MAX_TRAIN = 6000
 UNKNOWN = "und"
@@ -142,12 +142,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """Struct column (lang, score) for a text column; other columns stay in the JVM."""
-    shared = spark.sparkContext.broadcast(model)
+    # Plain values: a broadcast names its classes by module, which a worker need not have.
+    shared = spark.sparkContext.broadcast((model.languages, model.log_prior, model.log_prob))
 
     @F.pandas_udf("lang string, score double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Model(*shared.value)
         for texts in batches:
-            lang, score = shared.value.scores(texts.tolist())
+            lang, score = known.scores(texts.tolist())
             yield pd.DataFrame({"lang": pd.Series(lang, dtype=object), "score": np.array(score, float)})
 
     return identify(F.col(text))
