@@ -213,7 +213,8 @@ def trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     # adaptive execution can split the children of a hot node.
     whole = written(whole.select("conv", "depth", "parent", "n_convs", "n_children", "n_leaves", "saved_tokens",
                                  F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")), "trie-whole")
-    above = nodes.join(kids.select("id"), "id", "left_semi").select(F.col("id").alias("parent"), F.col("conv").alias("parent_conv_id"))
+    above = written(nodes.join(kids.select("id"), "id", "left_semi")
+                    .select(F.col("id").alias("parent"), F.col("conv").alias("parent_conv_id")), "trie-parents")
     return whole.join(above, "parent", "left").select(
         F.col("conv").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
