@@ -39,7 +39,7 @@ CHUNK = 1 << 17
 #: Groups up to this size are compared pair by pair, larger ones as a walk.
 FEW = 6
 #: Lines of a bucket that one task compares.
-BUCKET = 4000
+BUCKET = 2000
 _SEED = 42
 
 
@@ -258,8 +258,10 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
                     .select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
     # Distinct by text, not by handle: equal lines shrink to one a task before the next exchange,
     # and the join has an exchange right below both sides, so a hot line can be split.
+    # Written, so that the shuffles above are gone before the groups are dealt out.
     texts = (handled.join(cands.select("h").hint("shuffle_hash"), "h", "left_semi").select("norm").distinct()
              .select(F.xxhash64("norm").alias("h"), F.unhex(F.md5("norm")).alias("line_key"), "norm"))
+    texts = written(texts, "line-texts")
     grouped = cands.join(texts, "h").select("gid", "line_key", "norm")
     sizes = cands.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     if not sizes.where(F.col("n") > bucket).isEmpty():
