@@ -6,11 +6,10 @@ among terms with ``df >= min_df``; ``idf = ln((1+n)/(1+df)) + 1`` (smooth);
 ``tf = 1 + ln(count)`` (sublinear); rows L2-normalised over vocabulary terms.
 Spark ML's ``IDF`` omits the ``+1`` and its TF is raw, hence the SQL form.
 
-Plan shape: documents are hash-partitioned by id once (narrow rows), after
-which tokenising, per-document term counts and per-document norms are all
-partition-local; the only other exchange is the per-term document-frequency
-aggregate (map-side combined).  The vocabulary is a bounded top-k
-(``max_features`` rows) and is broadcast; an uncapped one is joined by key.
+Plan shape: terms are counted where a text is read, so no text is shuffled; document
+frequencies are one map-side combined aggregate by term, and every term gets a dense number by
+ranges (``dense_index``), however many there are.  A vocabulary of at most ``BROADCAST_MAX_TERMS``
+terms is broadcast to the weights (this changes the plan, not the rows); any other is joined by key.
 """
 
 from __future__ import annotations
@@ -18,12 +17,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework import lexicon
 from casework.functions import text as T
+from casework.session import written
 
 
 def stop_words() -> tuple[str, ...]:
@@ -57,34 +56,49 @@ class TermSpec:
         return self.terms_from_tokens(self.tokens(text_col))
 
 
-def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
-                    partitions: int | None = None) -> DataFrame:
-    """(id, term, tf): one row per distinct term of each document."""
-    d = docs.select(id_col, text_col)
-    d = d.repartition(partitions, id_col) if partitions else d.repartition(id_col)
+def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec) -> DataFrame:
+    """(id, term, tf): one row per distinct term of each document.
+
+    Terms are counted in the task that reads the text, so only (id, term, count) rows are shuffled,
+    never a text.
+    """
     # explode_outer: a plain explode makes the optimizer add a size(terms) > 0
-    # filter that recomputes the whole tokenising expression below the exchange
+    # filter that recomputes the whole tokenising expression below an exchange
     # tokens staged as a column: the bigram step reads them twice
-    toks = d.select(id_col, spec.tokens(text_col).alias("_toks"))
+    toks = docs.select(id_col, spec.tokens(text_col).alias("_toks"))
     ex = toks.select(id_col, F.explode_outer(spec.terms_from_tokens(F.col("_toks"))).alias("term")) \
              .where(F.col("term").isNotNull())
     return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
 
 
+def dense_index(df: DataFrame, keys: Sequence[str], name: str, out: str = "idx") -> DataFrame:
+    """``df`` with dense numbers from 0 in the order of ``keys``, without one global window.
+
+    Rows are sorted by ranges and written with their place in the range; the ranges' counts (one row
+    for each shuffle partition) are summed to offsets and broadcast.
+    """
+    at, part = F.col("_at"), F.shiftright("_at", 33)
+    ordered = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                      .withColumn("_at", F.monotonically_increasing_id()), name)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ordered.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+               .select("_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (ordered.join(F.broadcast(offsets), part == F.col("_range"))
+            .withColumn(out, F.col("_before") + at - F.col("_first")).drop("_at", "_range", "_first", "_before"))
+
+
 def fit_vocabulary(tc: DataFrame, n_docs: int, max_features: int | None, min_df: int = 1,
-                   id_col: str = "doc_id") -> DataFrame:
-    """(term, idx, df, ttf, idf).  ``idx`` follows sorted term order."""
+                   id_col: str = "doc_id", numbered: bool = True) -> DataFrame:
+    """(term, idx, df, ttf, idf).  ``idx``: dense numbers from 0 in sorted term order, with or without
+    a cap (``max_features``: the terms of the highest corpus frequency, at most that many); null
+    where no numbers are asked for."""
     stats = tc.groupBy("term").agg(F.count(F.lit(1)).cast("long").alias("df"),
                                    F.sum("tf").cast("long").alias("ttf"))
     if min_df > 1:
         stats = stats.where(F.col("df") >= min_df)
     if max_features:
         stats = stats.orderBy(F.col("ttf").desc(), F.col("term")).limit(max_features)
-        # bounded (<= max_features rows): a single-partition window is fine here
-        stats = stats.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    else:
-        # unbounded vocabulary: no global numbering (it would funnel every term into one task)
-        stats = stats.withColumn("idx", F.lit(None).cast("int"))
+    stats = dense_index(stats, ["term"], "vocabulary") if numbered else stats.withColumn("idx", F.lit(None).cast("long"))
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return stats.withColumn("idf", idf).select("term", "idx", "df", "ttf", "idf")
 
@@ -114,13 +128,14 @@ def tfidf_weights(tc: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
 
 
 def corpus_tfidf(docs: DataFrame, id_col: str, text_col: str, spec: TermSpec,
-                 max_features: int | None, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+                 max_features: int | None = None, min_df: int = 1,
+                 numbered: bool = True) -> tuple[DataFrame, DataFrame]:
     """Fit on ``docs`` and weight them: returns (vocabulary, weights).
 
     ``n_docs`` is one driver-side scalar count.
     """
     n_docs = docs.count()
-    # used twice (vocabulary, weights): keep it rather than re-tokenising
-    tc = doc_term_counts(docs, id_col, text_col, spec).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = fit_vocabulary(tc, n_docs, max_features, min_df, id_col)
+    # read twice (vocabulary, weights): written, so that neither re-tokenises and nothing stays cached
+    tc = written(doc_term_counts(docs, id_col, text_col, spec), "term-counts")
+    vocab = fit_vocabulary(tc, n_docs, max_features, min_df, id_col, numbered)
     return vocab, tfidf_weights(tc, vocab, id_col, max_features)

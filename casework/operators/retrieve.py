@@ -1,5 +1,5 @@
-"""Similar-case retrieval: exact top-k by inner product (cosine on unit vectors),
-dense or sparse (lexical TF-IDF), plus the case-index snapshot.
+"""Similar-case retrieval: exact top-k of dense vectors by inner product (cosine on unit
+vectors), plus the case-index snapshot (``lexical`` has the search by terms).
 
 Exact all-pairs scoring without materialising pairs: both sides are hashed
 into blocks, each query row is replicated once per index block and each index
@@ -83,29 +83,6 @@ def _dense_scorer(k: int, exclude_self: bool, positive_only: bool) -> Callable:
     return score
 
 
-def _sparse_scorer(k: int, exclude_self: bool) -> Callable:
-    """Long-form (id, idx, w) blocks -> dense matrices over the query block's terms only."""
-    def score(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or ipdf.empty:
-            return _empty()
-        terms = np.unique(qpdf["idx"].to_numpy("int64"))
-        ipdf = ipdf[np.isin(ipdf["idx"].to_numpy("int64"), terms)]
-        if ipdf.empty:
-            return _empty()
-        qids, qrow = np.unique(qpdf["qid"].to_numpy("int64"), return_inverse=True)
-        nids, nrow = np.unique(ipdf["nid"].to_numpy("int64"), return_inverse=True)
-        Q = np.zeros((len(qids), len(terms)))
-        X = np.zeros((len(nids), len(terms)))
-        Q[qrow, np.searchsorted(terms, qpdf["idx"].to_numpy("int64"))] = qpdf["w"].to_numpy("float64")
-        X[nrow, np.searchsorted(terms, ipdf["idx"].to_numpy("int64"))] = ipdf["w"].to_numpy("float64")
-        S = Q @ X.T
-        if exclude_self:
-            S[qids[:, None] == nids[None, :]] = -np.inf
-        S[S <= 0] = -np.inf          # only cases sharing at least one term
-        return _top_rows(S, qids, nids, k)
-    return score
-
-
 def _cogroup_topk(q: DataFrame, x: DataFrame, n_qb: int, n_ib: int, scorer: Callable, k: int) -> DataFrame:
     q = q.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
     x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
@@ -133,22 +110,6 @@ def topk_dense(queries: DataFrame, index: DataFrame, k: int = 5, id_col: str = "
     return _cogroup_topk(q, x, n_qb, n_ib, _dense_scorer(k, exclude_self, False), k)
 
 
-def topk_sparse(q_weights: DataFrame, x_weights: DataFrame, k: int = 5, id_col: str = "doc_id",
-                exclude_self: bool = False, q_block_rows: int = 2048, i_block_rows: int = 8192,
-                n_queries: int | None = None, n_index: int | None = None) -> DataFrame:
-    """Top-k over long-form L2-normalised weights ``(id, idx, weight)``; only
-    pairs sharing a term are candidates.  Pass the row counts of the source
-    tables when known (an upper bound is enough: they only size the blocks)."""
-    nq = n_queries if n_queries is not None else q_weights.select(id_col).distinct().count()
-    ni = n_index if n_index is not None else x_weights.select(id_col).distinct().count()
-    n_qb, n_ib = _blocks(nq, q_block_rows), _blocks(ni, i_block_rows)
-    q = q_weights.select(F.col(id_col).cast("long").alias("qid"), "idx", F.col("weight").alias("w")) \
-                 .withColumn("qb", _block_of("qid", n_qb))
-    x = x_weights.select(F.col(id_col).cast("long").alias("nid"), "idx", F.col("weight").alias("w")) \
-                 .withColumn("ib", _block_of("nid", n_ib))
-    return _cogroup_topk(q, x, n_qb, n_ib, _sparse_scorer(k, exclude_self), k)
-
-
 def score_against(index: DataFrame, query_vec: list[float], id_col: str = "id", vec_col: str = "vector") -> F.Column:
     """Inner product with one known vector as an unrolled column expression (codegen, no lambda)."""
     v = F.col(vec_col)

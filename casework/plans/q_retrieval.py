@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casework.functions import text as T
 from casework.operators import features as FE
+from casework.operators import lexical as LX
 from casework.operators import retrieve as R
 from casework.plans import sqltext as S
 from casework.plans.registry import register
@@ -13,7 +14,6 @@ from casework.session import read_table, scratch_path
 from casework.sources import fixtures as FX
 
 K = 5
-MAX_FEATURES = 8000
 EMBED_DIM = 64
 # snapshot "as of" time for the incremental refresh query: cases created later are new
 INCREMENT_AS_OF = "2024-01-01 08:20:00"
@@ -62,14 +62,14 @@ def ngrams(spark, sf_dir):
 # -- M4, M5 -------------------------------------------------------------------------
 
 def _doc_ctes():
-    return S.tfidf_ctes("d", "documents", "doc_id", "text", _spec(), MAX_FEATURES)
+    return S.tfidf_ctes("d", "documents", "doc_id", "text", _spec())
 
 
 @register("vocabulary", lambda: FX.with_views(
     "SELECT term, CAST(idx AS BIGINT) AS idx, df, ttf, round(idf, 6) AS idf FROM d_voc", ctes=_doc_ctes()))
 def vocabulary(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    vocab, _ = FE.corpus_tfidf(d, "doc_id", "text", _spec(), MAX_FEATURES)
+    vocab, _ = FE.corpus_tfidf(d, "doc_id", "text", _spec())
     return vocab.select("term", F.col("idx").cast("long").alias("idx"), "df", "ttf",
                         F.round("idf", 6).alias("idf"))
 
@@ -78,7 +78,7 @@ def vocabulary(spark, sf_dir):
     "SELECT id AS doc_id, term, round(weight, 6) AS weight FROM d_nw", ctes=_doc_ctes()))
 def tfidf(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    _, w = FE.corpus_tfidf(d, "doc_id", "text", _spec(), MAX_FEATURES)
+    _, w = FE.corpus_tfidf(d, "doc_id", "text", _spec(), numbered=False)
     return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -124,12 +124,10 @@ def _sql_lexical() -> str:
 
 @register("similar_lexical", _sql_lexical)
 def similar_lexical(spark, sf_dir):
-    """Benchmark texts -> top-5 documents by TF-IDF cosine (vocabulary fitted on documents)."""
+    """Benchmark texts -> top-5 documents by TF-IDF cosine (all terms of the documents)."""
     d = read_table(spark, sf_dir, "documents")
     b = read_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    vocab, dw = FE.corpus_tfidf(d, "doc_id", "text", _spec(), MAX_FEATURES)
-    qw = FE.tfidf_weights(FE.doc_term_counts(b, "doc_id", "text", _spec()), vocab, max_terms=MAX_FEATURES)
-    hits = R.topk_sparse(qw, dw, K, n_queries=b.count(), n_index=d.count())
+    hits = LX.search_texts(d, b, _spec(), K)
     return hits.select("qid", "nid", F.round("score", 4).alias("score"), "rank")
 
 

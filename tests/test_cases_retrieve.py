@@ -73,14 +73,6 @@ def test_blocked_dense_topk_equals_brute_force(spark):
     assert got == want
 
 
-def test_sparse_topk_only_shared_terms(spark):
-    q = spark.createDataFrame([(1, 0, 1.0)], "doc_id long, idx int, weight double")
-    x = spark.createDataFrame([(10, 0, 0.6), (10, 1, 0.8), (11, 1, 1.0), (12, 0, 1.0)],
-                              "doc_id long, idx int, weight double")
-    got = rows(R.topk_sparse(q, x, 5).orderBy("rank"), "nid", "score", "rank")
-    assert got == [(12, 1.0, 1), (10, 0.6, 2)]
-
-
 def test_similar_to_one_unknown_id_is_empty(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
     assert R.similar_to_one(df, 99).count() == 0
