@@ -136,9 +136,8 @@ def similar_to_one(index: DataFrame, case_id, k: int = 5, id_col: str = "id", ve
 
 def hashed_embedding_long(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """(id, dim_idx, value): token counts hashed into ``dim`` buckets by md5,
-    sublinear weight ``1 + ln(count)``, L2-normalised.  Whole text."""
-    d = docs.select(id_col, text_col).repartition(id_col)
-    tok = d.select(id_col, F.explode_outer(T.tokens(text_col)).alias("t")).where(F.col("t").isNotNull())
+    sublinear weight ``1 + ln(count)``, L2-normalised.  Whole text, counted where it is read."""
+    tok = docs.select(id_col, F.explode_outer(T.tokens(text_col)).alias("t")).where(F.col("t").isNotNull())
     b = F.pmod(F.conv(F.substring(F.md5(F.col("t")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     c = tok.groupBy(id_col, b.alias("dim_idx")).agg(F.count(F.lit(1)).alias("n"))
     w = F.lit(1.0) + F.log(F.col("n").cast("double"))
@@ -147,11 +146,11 @@ def hashed_embedding_long(docs: DataFrame, id_col: str, text_col: str, dim: int
     return c.select(id_col, "dim_idx", (F.col("_w") / norm).alias("value"))
 
 
-def to_dense(long: DataFrame, id_col: str, dim: int, out_col: str = "vector") -> DataFrame:
-    """Long (id, dim_idx, value) -> (id, array<float> of length dim)."""
+def to_dense(long: DataFrame, id_col: str, dim: int, out_col: str = "vector", kind: str = "float") -> DataFrame:
+    """Long (id, dim_idx, value) -> (id, array of ``kind``, of length dim)."""
     g = long.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim_idx", "value"))).alias("_m"))
     return g.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)).cast("float"))
+                                        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0)).cast(kind))
                     .alias(out_col))
 
 
@@ -194,10 +193,10 @@ def index_rows(cases: DataFrame, newest_n: int | None = None) -> DataFrame:
     return out
 
 
-def build_index(rows: DataFrame, dim: int = 64) -> DataFrame:
+def build_index(rows: DataFrame, dim: int = 64, kind: str = "float") -> DataFrame:
     """Metadata + built-in embedding (rows without tokens get a zero vector)."""
-    vec = to_dense(hashed_embedding_long(rows, "case_id", "complaint_text", dim), "case_id", dim)
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    vec = to_dense(hashed_embedding_long(rows, "case_id", "complaint_text", dim), "case_id", dim, kind=kind)
+    zero = F.array_repeat(F.lit(0.0).cast(kind), dim)
     return (rows.join(vec, "case_id", "left")
                 .withColumn("vector", F.coalesce(F.col("vector"), zero)))
 
@@ -213,18 +212,3 @@ def load_or_build(spark, path: str, build: Callable[[], DataFrame]) -> DataFrame
         return df
     write_index(build(), path)
     return spark.read.parquet(path)
-
-
-def refresh_index(existing: DataFrame, cases: DataFrame, dim: int = 64) -> DataFrame:
-    """Rows to append: cases with text not yet in the snapshot (anti-join on id)."""
-    new = index_rows(cases).join(existing.select("id"), "id", "left_anti")
-    return build_index(new, dim)
-
-
-def index_info(index: DataFrame | None, path: str, model: str = "hashed-tokens-64") -> DataFrame:
-    """One row: ready flag, size, embedder name, path."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    n = index.count() if index is not None else 0
-    return spark.createDataFrame([(n > 0, int(n), model, path)],
-                                 "is_ready boolean, index_size long, embed_model string, index_path string")

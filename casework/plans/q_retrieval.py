@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casework.functions import text as T
+from casework.operators import caseindex as CI
 from casework.operators import features as FE
 from casework.operators import lexical as LX
 from casework.operators import retrieve as R
@@ -15,8 +16,6 @@ from casework.sources import fixtures as FX
 
 K = 5
 EMBED_DIM = 64
-# snapshot "as of" time for the incremental refresh query: cases created later are new
-INCREMENT_AS_OF = "2024-01-01 08:20:00"
 
 
 def _spec() -> FE.TermSpec:
@@ -170,16 +169,63 @@ def index_snapshot(spark, sf_dir):
     return idx.select(*INDEX_COLS, F.size("vector").cast("int").alias("vector_dim"))
 
 
+HALF = "epoch(created_at) < (SELECT avg(epoch(created_at)) FROM cases)"
+
+
+def _case_index(spark, sf_dir) -> tuple[str, int, int]:
+    """Path of an index of the older half of all cases, then increased by all cases twice; rows that each run added."""
+    path = scratch_path(spark, "case-index")
+    cases = FX.cases(spark, sf_dir)
+    at = F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    middle = cases.agg(F.avg(at)).first()[0]
+    CI.rebuild(spark, cases.where(at < F.lit(middle)), path, EMBED_DIM)
+    return path, CI.append(spark, cases, path), CI.append(spark, cases, path)
+
+
 @register("index_increment", lambda: FX.with_views(
-    _sql_index_meta("(SELECT * FROM cases WHERE complaint_text IS NOT NULL AND id NOT IN ("
-                    f"SELECT id FROM cases WHERE complaint_text IS NOT NULL AND created_at < TIMESTAMP '{INCREMENT_AS_OF}'))"),
-    names=["cases"]))
+    _sql_index_meta(f"(SELECT * FROM cases WHERE complaint_text IS NOT NULL AND NOT {HALF})"), names=["cases"]))
 def index_increment(spark, sf_dir):
-    """Snapshot as of a time, then append the cases it has not seen (anti-join on id)."""
-    cases = FX.cases(spark, sf_dir)
-    old = R.build_index(R.index_rows(cases.where(F.col("created_at") < F.expr(f"TIMESTAMP_NTZ '{INCREMENT_AS_OF}'"))),
-                        EMBED_DIM)
-    path = scratch_path(spark, "case_index_inc")
-    R.write_index(old, path)
-    new = R.refresh_index(spark.read.parquet(path), cases, EMBED_DIM)
-    return new.select(*INDEX_COLS, F.size("vector").cast("int").alias("vector_dim"))
+    """An index of the older half of the cases, increased by all cases: the rows that the increment added,
+    read back.  A second increment adds nothing."""
+    path, _, again = _case_index(spark, sf_dir)
+    if again:
+        raise AssertionError(f"{again} cases were added twice")
+    rows = CI.read(spark, path).where(F.col("block").startswith("1-"))
+    return rows.select(*INDEX_COLS, F.size("vector").cast("int").alias("vector_dim"))
+
+
+@register("index_info", lambda: FX.with_views(
+    f"SELECT count(*) > 0 AS is_ready, count(*) AS index_size, 'hashed-tokens-{EMBED_DIM}' AS embed_model, "
+    f"{EMBED_DIM} AS dim, CAST(0 AS BIGINT) AS version, 2 AS n_batches FROM cases WHERE complaint_text IS NOT NULL",
+    names=["cases"]))
+def index_info(spark, sf_dir):
+    """The manifest's row after one rebuild and two increments, the second without a new case."""
+    return CI.info(spark, _case_index(spark, sf_dir)[0])
+
+
+def _sql_similar(queries: str, same: str) -> str:
+    emb = _sql_embed() + [("qt", f"SELECT id, unnest({S.tokens('text')}) AS t FROM ({queries})"),
+                          ("qb", "SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % "
+                                 f"{EMBED_DIM} AS INTEGER) AS dim_idx, count(*) AS n FROM qt GROUP BY ALL"),
+                          ("qw", "SELECT id, dim_idx, (1 + ln(n)) / sqrt(sum((1 + ln(n)) * (1 + ln(n))) OVER "
+                                 "(PARTITION BY id)) AS value FROM qb")]
+    return FX.with_views(
+        "SELECT qid, c.id, coalesce(category, '') AS category, coalesce(severity, '') AS severity, coalesce(emotion, '') AS emotion, "
+        "coalesce(nullif(status, ''), 'open') AS status, substr(complaint_text, 1, 200) AS snippet, round(s, 4) AS score, "
+        "CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, nid) AS rank "
+        "FROM (SELECT q.id AS qid, e.id AS nid, sum(q.value * e.value) AS s FROM qw q JOIN ew e USING (dim_idx) "
+        f"WHERE {same} GROUP BY ALL) WHERE s > 0) h JOIN cases c ON c.case_id = h.nid WHERE rank <= 5", names=["cases"], ctes=emb)
+
+
+@register("similar_cases_text", lambda: _sql_similar("SELECT item_id AS id, text FROM benchmark", "true"))
+def similar_cases_text(spark, sf_dir):
+    """Top-5 similar cases, with their fields, for every benchmark text."""
+    path, *_ = _case_index(spark, sf_dir)
+    return CI.similar_to_texts(spark, path, read_table(spark, sf_dir, "benchmark"), "item_id", "text", K)
+
+
+@register("similar_cases", lambda: _sql_similar("SELECT case_id AS id, complaint_text AS text FROM cases", "q.id <> e.id"))
+def similar_cases(spark, sf_dir):
+    """Top-5 similar cases, with their fields, for every case, itself excluded."""
+    path, *_ = _case_index(spark, sf_dir)
+    return CI.similar_to_cases(spark, path, CI.read(spark, path).select("case_id"), K)

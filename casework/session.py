@@ -115,10 +115,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None if nothing is there; other errors are raised."""
+def read_if_present(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None if nothing is there; other errors are raised."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.format(kind).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
