@@ -7,6 +7,8 @@ costs work of one stage only.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from casework.llm import langid, linededup, mixing, packing, simhash
 from casework.session import written
 
+#: Rows of whole texts that go to a Python worker at once (Spark's own setting is 10,000): what a worker and its
+#: executor's Arrow buffers hold follows this number times the length of a text.
+BATCH_ROWS = 1000
 #: Below this posterior probability no language is believed.
 LEAST_SCORE = 0.5
 
@@ -45,8 +50,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
-          ("mix_sources", mix_sources), ("pack", pack)]
+def in_small_batches(stage):
+    """``stage`` with ``BATCH_ROWS``; the setting stays, since the stage's result runs after it has returned."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, in_small_batches(stage)) for stage in (language_id, line_dedup, near_dedup, mix_sources, pack)]
 
 #: SQL cannot say the fitted classifier, MinHash, SimHash or packing: tests/llm checks brute force.
 ORACLE_SQL = None
