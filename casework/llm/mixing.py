@@ -5,13 +5,13 @@ Sources share ``share`` times all words by weight.  A source whose share would g
 others by weight, until no source is above its clamp (each round is one aggregate over the
 table of sources).  A target of ``e`` epochs is met with ``floor(e)`` whole repetitions of
 every document and one more of a seeded part of them: documents in the order of a seeded
-hash up to a cut, then the one further document whose size closes most of what is left.
+hash (of key and text; equal rows by a row number) up to a cut, then the one further document
+whose size closes most of what is left.
 
 The cut comes from sums by hash bucket (bounded: sources x 16 ** ``DIGITS``), and only rows of
 the one bucket it falls in are ranked, so a source with a third of all rows is never one
 task's work.  What is decided is one row a source (times to take all, cut, closing
-document); documents meet it by a broadcast whose rows are counted first, so their texts
-are not shuffled.
+document); slim rows meet it by a broadcast whose rows are counted first.
 """
 
 from __future__ import annotations
@@ -67,19 +67,22 @@ def weigh(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
                                                      turn + 1))
 
 
-def order_key(key: str, seed: int) -> Column:
-    """Seeded place of a document among its source's; rows of one key share it."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+def order_key(key: str, text: str, seed: int) -> Column:
+    """Seeded place of a document among its source's; only rows of one key and one text share it."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), digest))
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
          share: float = 1.5, weights: Sequence[float] = (3, 1, 2), max_epochs: float = 2.0,
-         seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows, per_source): ``rows`` has key, source, size and hash of every document;
-    ``per_source`` has source, source_size, target, whole, cut and closing."""
-    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"),
-                               word_count(text).alias("size"), order_key(key, seed).alias("hash")),
-                   "mix-rows")
+         seed: int = 42, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, per_source): ``rows`` has key, source, size, hash and row (a number of its own) of
+    every document; ``per_source`` has source, source_size, target, whole, cut, cut_row and closing.
+
+    ``row``: a column of row numbers (``monotonically_increasing_id`` of a written table)."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
+                               order_key(key, text, seed).alias("hash"), number.alias("row")), "mix-rows")
     sources = written(weigh(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights),
                       "mix-sources")
     side = small(sources)
@@ -96,32 +99,57 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
           .where((F.col("before") <= F.col("extra")) & (F.col("before") + F.col("words") > F.col("extra")))
           .groupBy("source").agg(F.min(F.struct("bucket", "before", "extra")).alias("at"))
           .select(F.col("source").alias("s"), "at.*"))
-    # Rows of one hash go together: the frame's peers count as one.
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("hash")
-                              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = (rows.join(side(at), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
-            .withColumn("upto", F.col("before") + upto).where(F.col("upto") <= F.col("extra"))
-            .groupBy("source").agg(F.max("hash").alias("hash"), F.max("upto").alias("upto"))
-            .select(F.col("source").alias("e"), F.col("hash").alias("edge"), "upto"))
-    cuts = at.join(side(edge), F.col("s").eqNullSafe(F.col("e")), "left").select(
-        F.col("s").alias("c"), F.coalesce("edge", "bucket").alias("cut"),
-        (F.col("extra") - F.coalesce("upto", "before")).alias("left"))
-    per = t.join(side(cuts), F.col("source").eqNullSafe(F.col("c")), "left").drop("c", "extra")
-    per = written(per, "mix-cuts")
+    # One row a hash: rows of one hash have one text, so one size, and `copies` of them are taken.
+    inside = (rows.join(side(at), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
+              .groupBy("source", "before", "extra", "hash").agg(F.sum("size").alias("words"), F.max("size").alias("each")))
+    end = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("hash"))
+    cuts = (inside.withColumn("end", end).where(F.col("end") > F.col("extra"))
+            .groupBy("source").agg(F.min(F.struct("hash", (F.col("end") - F.col("words")).alias("start"), "each",
+                                                  "extra")).alias("c"))
+            .select(F.col("source").alias("s"), F.col("c.hash").alias("cut"), "c.start", "c.each", "c.extra"))
+    cuts = cuts.withColumn("copies", F.floor((F.col("extra") - F.col("start")) / F.col("each")).cast("long"))
+    taken = F.col("start") + F.col("copies") * F.col("each")
+    cuts = cuts.withColumn("copies", F.col("copies") - (taken > F.col("extra")).cast("long"))
+    cuts = written(cuts.withColumn("left", F.col("extra") - taken).select("s", "cut", "copies", "left"), "mix-cuts")
+    last = last_copies(rows, cuts, side)
+    per = (t.drop("extra").join(side(cuts.withColumnRenamed("s", "c")), F.col("source").eqNullSafe(F.col("c")), "left")
+           .join(side(last), F.col("source").eqNullSafe(F.col("l")), "left").drop("c", "l", "copies"))
+    per = written(per, "mix-ends")
 
     gap = F.abs(F.col("size") - F.col("left"))
-    rest = (rows.join(side(per.select(F.col("source").alias("s"), "cut", "left")),
+    rest = (rows.join(side(per.select(F.col("source").alias("s"), "cut", "cut_row", "left")),
                       F.col("source").eqNullSafe(F.col("s")))
-            .where((F.col("hash") > F.col("cut")) & (F.col("size") > 0)))
-    near = (rest.groupBy("source", "left").agg(F.min(F.struct(gap.alias("gap"), "hash")).alias("near"))
-            .select(F.col("source").alias("n"), F.col("near.hash").alias("closing"), "left"))
-    closing = (rows.join(side(near), F.col("source").eqNullSafe(F.col("n")) & (F.col("hash") == F.col("closing")))
-               .groupBy("n", "closing", "left").agg(F.sum("size").alias("size"))
-               .where(gap < F.col("left")).select("n", "closing"))
+            .where(~first_part() & (F.col("size") > 0)))
+    closing = (rest.groupBy("source", "left").agg(F.min(F.struct(gap.alias("gap"), "hash", "row")).alias("near"))
+               .where(F.col("near.gap") < F.col("left"))
+               .select(F.col("source").alias("n"), F.col("near.row").alias("closing")))
     per = per.join(side(closing), F.col("source").eqNullSafe(F.col("n")), "left").drop("n", "left")
     return rows, written(per, "mix-plan")
 
 
+def last_copies(rows: DataFrame, cuts: DataFrame, side) -> DataFrame:
+    """(l, cut_row) a source: row number of the last of its ``copies`` rows at the cut.
+
+    Copies may be a third of all rows: they are counted by the partition that numbered them, and
+    only those of the one partition the last one falls in are ranked."""
+    tied = rows.join(side(cuts.where("copies > 0")), F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("cut")))
+    tied = tied.select("source", "copies", "row", F.shiftright("row", 33).alias("part"))
+    counts = tied.groupBy("source", "copies", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("part"))
+    edge = (counts.withColumn("upto", upto).where(F.col("upto") >= F.col("copies"))
+            .groupBy("source").agg(F.min(F.struct("part", (F.col("copies") - F.col("upto") + F.col("n")).alias("nth"))).alias("e"))
+            .select(F.col("source").alias("l"), F.col("e.part").alias("at"), "e.nth"))
+    inside = tied.join(side(edge), F.col("source").eqNullSafe(F.col("l")) & (F.col("part") == F.col("at")))
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("row")))
+    return ranked.where(F.col("rank") == F.col("nth")).select("l", F.col("row").alias("cut_row"))
+
+
+def first_part(hashed: str = "hash", row: str = "row", prefix: str = "") -> Column:
+    """Is the row before the cut of its source?  ``prefix``: what the plan's column names begin with."""
+    cut, cut_row = F.col(f"{prefix}cut"), F.coalesce(F.col(f"{prefix}cut_row"), F.lit(-1))
+    return F.coalesce((F.col(hashed) < cut) | (F.col(hashed) == cut) & (F.col(row) <= cut_row), F.lit(False))
+
+
 def small(spark_rows: DataFrame):
     """A function that marks tables with a row a source for broadcast, if ``spark_rows`` (the
     table of sources) is counted to be small enough, and else leaves them alone."""
@@ -129,39 +157,38 @@ def small(spark_rows: DataFrame):
     return F.broadcast if n <= MAX_BROADCAST_SOURCES else (lambda per_source: per_source)
 
 
-def repetitions() -> Column:
-    more = (F.col("hash") <= F.col("cut")) | (F.col("hash") == F.col("closing"))
-    return F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+def repetitions(hashed: str = "hash", row: str = "row", prefix: str = "") -> Column:
+    closes = F.coalesce(F.col(row) == F.col(f"{prefix}closing"), F.lit(False))
+    return F.col(f"{prefix}whole") + (first_part(hashed, row, prefix) | closes).cast("long")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", into: str = "mix",
         **options) -> DataFrame:
-    """``docs`` with a struct column ``mix`` (size, source_size, target, repetitions, taken).
+    """``docs`` with a struct column ``into`` (size, source_size, target, repetitions, taken).
 
     Every row stays.  A null text has size 0, a null source is a source of its own, rows that
-    share a key are taken or left together, an empty table gives an empty result; a column
-    named ``mix`` is replaced, other columns are left alone.  ``taken`` of a source differs
-    from its target by less than one document.
+    share a key, or have none, are placed by their texts, and of equal ones as many are taken as
+    needed; an empty table gives an empty result; a column named ``into`` is replaced, other
+    columns are left alone.  ``taken`` of a source differs from its target by less than one
+    document.  The rows are numbered and written once, so that plan and result see the same ones.
     """
-    _, per = plan(docs, key, source, text, **options)
-    p = small(per)(per.select(*[F.col(c).alias(f"__{c}") for c in
-                                ("source", "source_size", "target", "whole", "cut", "closing")]))
-    hashed = order_key(key, options.get("seed", 42))
-    more = (hashed <= F.col("__cut")) | (hashed == F.col("__closing"))
-    out = (docs.drop("mix").withColumn("__size", word_count(text))
+    docs = written(docs.drop(into).withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
+    _, per = plan(docs, key, source, text, row="__row", **options)
+    p = small(per)(per.select(*[F.col(c).alias(f"__{c}") for c in per.columns]))
+    out = (docs.withColumn("__size", word_count(text)).withColumn("__hash", order_key(key, text, options.get("seed", 42)))
            .join(p, F.col(source).eqNullSafe(F.col("__source")), "left")
-           .withColumn("__times", F.col("__whole") + F.coalesce(more, F.lit(False)).cast("long")))
+           .withColumn("__times", repetitions("__hash", "__row", "__")))
     fields = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
                       F.col("__target").alias("target"), F.col("__times").alias("repetitions"),
                       (F.col("__size") * F.col("__times")).alias("taken"))
-    return out.withColumn("mix", fields).drop("__size", "__source", "__source_size", "__target",
-                                              "__whole", "__cut", "__closing", "__times")
+    return out.withColumn(into, fields).drop("__row", "__size", "__hash", "__times", *p.columns)
 
 
-def repeat(mixed: DataFrame) -> DataFrame:
+def repeat(mixed: DataFrame, into: str = "mix") -> DataFrame:
     """The mix itself: a row of ``mix`` as often as it is to be repeated."""
-    times = F.when(F.col("mix.repetitions") > 0, F.sequence(F.lit(1), F.col("mix.repetitions").cast("int")))
-    return mixed.withColumn("__time", F.explode(times)).drop("__time", "mix")
+    repetitions_ = F.col(into)["repetitions"]
+    times = F.when(repetitions_ > 0, F.sequence(F.lit(1), repetitions_.cast("int")))
+    return mixed.withColumn("__time", F.explode(times)).drop("__time", into)
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +201,10 @@ def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
-  FROM documents
+  SELECT *, row_number() OVER (PARTITION BY source, hash) AS copy FROM (
+    SELECT doc_id, source, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS hash,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+    FROM documents)
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
@@ -200,20 +228,17 @@ WITH RECURSIVE docs AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goals
 ), summed AS (
   SELECT d.*, source_size, target, whole, target - whole * source_size AS extra,
-         sum(size) OVER (PARTITION BY d.source ORDER BY hash RANGE UNBOUNDED PRECEDING) AS upto
+         sum(size) OVER (PARTITION BY d.source ORDER BY hash, copy ROWS UNBOUNDED PRECEDING) AS upto
   FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 ), lefts AS (
   SELECT source, any_value(extra) - coalesce(max(upto) FILTER (upto <= extra), 0) AS rest FROM summed GROUP BY source
-), nearest AS (
-  SELECT s.source, rest, arg_min(hash, {'gap': abs(size - rest), 'hash': hash}) AS hash
+), closing AS (
+  SELECT s.source, rest, min({'gap': abs(size - rest), 'hash': hash, 'copy': copy}) AS near
   FROM summed s JOIN lefts l ON s.source IS NOT DISTINCT FROM l.source
   WHERE upto > extra AND size > 0 GROUP BY s.source, rest
-), closing AS (
-  SELECT n.hash FROM nearest n JOIN docs d ON d.hash = n.hash AND d.source IS NOT DISTINCT FROM n.source
-  GROUP BY n.hash, n.rest HAVING abs(sum(size) - rest) < rest
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN (upto <= extra) OR hash IN (SELECT hash FROM closing) THEN 1 ELSE 0 END)
-            AS BIGINT) AS taken
-FROM summed
+       CAST(size * (whole + CASE WHEN upto <= extra OR (near.gap < rest AND near.hash = hash AND near.copy = copy)
+                                 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM summed s LEFT JOIN closing c ON s.source IS NOT DISTINCT FROM c.source
 """

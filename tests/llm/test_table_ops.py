@@ -152,6 +152,25 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.repeat(mixed).count() == sum(r.mix.repetitions for r in got)
 
 
+def test_mixing_of_shared_and_missing_ids(spark, tmp_path):
+    """Rows that share an id, or have none, are placed one by one, equal ones counted."""
+    texts = [f"w{i} a b c d e f g h i" for i in range(300)]
+    rows = ([(i, texts[i % 300], "a") for i in range(400)] + [(None, t, "a") for t in texts] + [(None, "the same words " * 4, "a")] * 600
+            + [(7, "one shared id", "b")] * 50 + [(7, None, "b"), (None, "", "b")] + [(None, f"x {i}", None) for i in range(90)])
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.documents_query(spark, str(tmp_path)).collect()
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = sql(mixing.ORACLE_SQL, tmp_path)
+    assert [d[0] for d in want.description] == cols
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"), into="m")
+    for source in ("a", "b", None):
+        mine = [r.m for r in mixed.collect() if r.source == source]
+        assert abs(sum(m.taken for m in mine) - mine[0].target) <= max(m.size for m in mine)
+    assert sorted((r.doc_id or -1, r.m.size, r.m.taken) for r in mixed.collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in got)
+    assert mixing.repeat(mixed, "m").count() == sum(r.m.repetitions for r in mixed.collect())
+
+
 def test_water_filling_redistributes_until_feasible(spark):
     s = spark.createDataFrame([("a", 10, 1.0), ("b", 100, 10.0), ("c", 1000, 1.0)], "source string, source_size long, weight double")
     t = {r.source: r.target for r in mixing.targets(s, 1.5, 2.0).collect()}
