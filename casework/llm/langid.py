@@ -160,17 +160,17 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-             max_train: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` with a struct column ``langid`` (lang, score, held_out).
+             max_train: int = MAX_TRAIN, into: str = "langid") -> DataFrame:
+    """``docs`` with a struct column ``into`` (lang, score, held_out).
 
     Learns from labelled rows outside the held-out quarter of the keys.  Null texts and texts
     without a letter are ``und`` with score 0; a null key is not held out; repeated rows get
-    the same answer; an empty table gives an empty result; a column ``langid`` is replaced.
+    the same answer; an empty table gives an empty result; a column named ``into`` is replaced.
     """
     test = F.coalesce(held_out(key), F.lit(False))
     model = train(docs.where(~test), key, text, lang, max_train)
-    out = docs.drop("langid").withColumn("__p", predict(docs.sparkSession, model, text))
-    return out.withColumn("langid", F.struct("__p.lang", "__p.score", test.alias("held_out"))).drop("__p")
+    out = docs.drop(into).withColumn("__p", predict(docs.sparkSession, model, text))
+    return out.withColumn(into, F.struct("__p.lang", "__p.score", test.alias("held_out"))).drop("__p")
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:

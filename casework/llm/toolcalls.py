@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,30 @@ from casework.session import written
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: What ``violations`` knows, and keywords that forbid nothing.
+KEYWORDS = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minLength", "maxLength",
+            "minimum", "maximum"}
+NOTES = {"title", "description", "default", "examples"}
+
+
+def known_schema(schema: dict, at: str) -> None:
+    """ValueError where a schema asks for what is not checked here (nothing is passed over in silence)."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema is an object")
+    if odd := sorted(set(schema) - KEYWORDS - NOTES):
+        raise ValueError(f"{at}: keywords not supported: {', '.join(odd)}")
+    kinds = schema.get("type", [])
+    if odd := sorted({kinds} if isinstance(kinds, str) else set(kinds)):
+        if odd := [k for k in odd if k not in _TYPES and k not in ("integer", "number")]:
+            raise ValueError(f"{at}: types not supported: {', '.join(odd)}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties is true or false here")
+    for name, inner in schema.get("properties", {}).items():
+        known_schema(inner, f"{at}.{name}")
+    if "items" in schema:
+        known_schema(schema["items"], f"{at}[]")
+
+
 def _is_type(value, name: str) -> bool:
     if name == "integer":
         return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and value.is_integer())
@@ -32,14 +57,15 @@ def _is_type(value, name: str) -> bool:
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in ``value`` the schema forbids (type, enum, required, properties,
+    """What in ``value`` the schema forbids (type, enum, const, required, properties,
     additionalProperties, items, minLength, maxLength, minimum, maximum)."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is_type(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    listed = schema.get("enum", [schema["const"]] if "const" in schema else None)
+    if listed is not None and canonical(value) not in map(canonical, listed):
         out.append(f"{at}: not one of the listed values")
     if isinstance(value, str):
         if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
@@ -73,8 +99,13 @@ def _one_form(x):
     return [_one_form(v) for v in x] if isinstance(x, list) else x
 
 
+def _escaped(text: str) -> str:
+    """``text`` with lone surrogates as escapes: UTF-8 has no form for them."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(_one_form(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _escaped(json.dumps(_one_form(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 def message(call_id, name, arguments, content, after, schemas: dict) -> tuple[str, list[str]]:
@@ -96,13 +127,21 @@ def message(call_id, name, arguments, content, after, schemas: dict) -> tuple[st
     elif name is not None:
         wrong.append("no arguments")
     body = {"id": call_id, "name": name, "arguments": parsed, "after": sorted(after), "result": content}
-    return canonical(body), wrong
+    return canonical(body), [_escaped(w) for w in wrong]
+
 
+def first_of(df: DataFrame, name: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """One row for each (conv, call_id), the first by position, and how many there were; and the other rows.
 
-def first_of(df: DataFrame, *columns: str) -> DataFrame:
-    """One row for each (conv, call_id): the first by position, and how many there were."""
-    return (df.groupBy("conv", "call_id").agg(F.min(F.struct(*columns)).alias("r"), F.count(F.lit(1)).alias("copies"))
-            .select("conv", "call_id", "r.*", "copies"))
+    Rows are numbered in a written table and the others found by their numbers, so that an
+    identifier may have any share of the rows."""
+    rows = written(df.select("conv", "call_id", *columns, F.monotonically_increasing_id().alias("row")), f"{name}-rows")
+    first = written(rows.groupBy("conv", "call_id").agg(F.min(F.struct(*columns, "row")).alias("r"),
+                                                        F.count(F.lit(1)).alias("copies"))
+                    .select("conv", "call_id", "r.*", "copies"), name)
+    if first.where("copies > 1").isEmpty():
+        return first.drop("row"), rows.limit(0).drop("row")
+    return first.drop("row"), rows.join(first.select("row"), "row", "left_anti").drop("row")
 
 
 def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,23 +172,29 @@ def depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv, call_id, depth, at, status, calls, results, valid, errors, json), a row for each
-    identifier of a conversation.
+    identifier of a conversation and for each repeated call or result.
 
     ``calls``: conv, call_id, at, name, arguments (JSON text), after (identifiers of calls built
     on); ``results``: conv, call_id, at, content.  Sorted by (depth, at, call_id), every call of
     a conversation follows those it builds on.  status: linked, no result, no call, result
     first (it stands before its call) or cycle (depth null).  Of several rows of one identifier
-    the first by position counts; ``calls`` and ``results`` tell how many there were.  Null
+    the first by position is linked; ``calls`` and ``results`` tell how many there were, and each
+    further one is a row of its own, repeated call or repeated result (depth null, not valid).  Null
     identifiers count as ''; null conversations are one conversation; calls that build on
-    unknown calls are not valid; empty tables give an empty result.
+    unknown calls are not valid; a schema with a keyword that is not checked is a ValueError;
+    lone surrogates are written as escapes; empty tables give an empty result.
     """
+    for tool, schema in schemas.items():
+        known_schema(schema, tool)
+
     def keyed(df):
         return df.withColumn("call_id", F.coalesce(F.col("call_id").cast("string"), F.lit("")))
 
-    c = first_of(keyed(calls).withColumn("after", F.coalesce("after", F.array().cast("array<string>"))),
-                 "at", "name", "arguments", "after").withColumnRenamed("copies", "calls")
-    c = written(c, "calls")
-    r = first_of(keyed(results), "at", "content").select(
+    c, more_calls = first_of(keyed(calls).withColumn("after", F.coalesce("after", F.array().cast("array<string>"))),
+                             "calls", "at", "name", "arguments", "after")
+    c = c.withColumnRenamed("copies", "calls")
+    r, more_results = first_of(keyed(results), "results", "at", "content")
+    r = r.select(
         F.col("conv").alias("rconv"), F.col("call_id").alias("rid"), F.col("at").alias("rat"), "content",
         F.col("copies").alias("results"))
     deps = c.select("conv", "call_id", "at", F.explode(F.array_distinct("after")).alias("dep"))
@@ -175,6 +220,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         both = (both.withColumn("cycle", F.col("zid").isNotNull() & F.col("zdepth").isNull())
                 .withColumn("depth", F.when(~F.col("cycle"), F.coalesce("zdepth", F.lit(0)))))
 
+    both = both.withColumn("repeated", F.lit(None).cast("string")).unionByName(
+        more_calls.withColumn("repeated", F.lit("repeated call")).withColumn("calls", F.lit(1)), allowMissingColumns=True).unionByName(
+        more_results.withColumnRenamed("at", "rat").withColumn("repeated", F.lit("repeated result")).withColumn("results", F.lit(1)),
+        allowMissingColumns=True)
+
     @F.pandas_udf("json string, errors array<string>")
     def serialised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,11 +233,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             yield pd.DataFrame({"json": [x[0] for x in rows], "errors": [x[1] for x in rows]})
 
     fields = F.struct("call_id", "name", "arguments", "content", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    status = (F.when(F.col("cycle"), "cycle").when(F.col("calls").isNull(), "no call")
+    status = (F.when(F.col("repeated").isNotNull(), F.col("repeated")).when(F.col("cycle"), "cycle").when(F.col("calls").isNull(), "no call")
               .when(F.col("results").isNull(), "no result").when(F.col("rat") <= F.col("at"), "result first")
               .otherwise("linked"))
     lost = F.transform(F.coalesce("lost", F.array().cast("array<string>")), lambda x: F.concat(F.lit("unknown call "), x))
-    out = both.withColumn("s", serialised(fields)).withColumn("errors", F.concat("s.errors", lost))
+    out = both.withColumn("s", serialised(fields)).withColumn(
+        "errors", F.concat("s.errors", lost, F.when(F.col("repeated").isNotNull(), F.array("repeated"))
+                           .otherwise(F.array().cast("array<string>"))))
     return out.select("conv", "call_id", "depth", F.coalesce("at", "rat").alias("at"), status.alias("status"),
                       F.coalesce("calls", F.lit(0)).cast("long").alias("calls"),
                       F.coalesce("results", F.lit(0)).cast("long").alias("results"),

@@ -191,8 +191,12 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
         (3, None, 1, "f", None, None), (None, "n", 1, "f", '{"n":NaN}', ["n0"]), (None, "n0", 2, "f", '{"n":3}', [])], CALLS)
     results = spark.createDataFrame([(1, "late", 2, "é\n"), (1, "lost", 3, "r"), (1, "x", 4, "early"), (1, "x", 8, "again"), (None, "n", 9, None)],
                                     "conv long, call_id string, at long, content string")
-    got = {(r.conv, r.call_id): r for r in toolcalls.link(calls, results, TOOLS).collect()}
+    linked = toolcalls.link(calls, results, TOOLS).collect()
+    got = {(r.conv, r.call_id): r for r in linked if not r.status.startswith("repeated")}
     assert len(got) == 10
+    assert sorted((r.conv, r.call_id, r.at, r.status, json.loads(r.json)["result"], json.loads(r.json)["arguments"])
+                  for r in linked if r.status.startswith("repeated")) == [
+        (1, "x", 8, "repeated result", "again", None), (2, "p", 9, "repeated call", None, {})]
     r = got[(1, "late")]
     assert (r.status, r.depth, r.valid) == ("linked", 1, True)
     assert r.json == '{"after":["early"],"arguments":{"n":1},"id":"late","name":"f","result":"é\\n"}'
@@ -207,9 +211,36 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert toolcalls.link(calls.limit(0), results.limit(0), TOOLS).count() == 0
 
 
+def test_tool_calls_with_one_identifier_are_all_kept(spark):
+    """Null identifiers and one identifier for many rows: every call and every content comes back once."""
+    calls = spark.createDataFrame([(1, None, i, "f", f'{{"n":{i}}}', None) for i in range(30)] + [(None, "k", 1, "f", '{"n":1}', None)] * 4, CALLS)
+    results = spark.createDataFrame([(1, None, 40 + i, f"content {i}") for i in range(20)], "conv long, call_id string, at long, content string")
+    got = toolcalls.link(calls, results, TOOLS).collect()
+    bodies = [json.loads(r.json) for r in got]
+    assert sorted(b["arguments"]["n"] for b in bodies if b["arguments"]) == sorted([*range(30), 1, 1, 1, 1])
+    assert sorted(b["result"] for b in bodies if b["result"]) == sorted(f"content {i}" for i in range(20))
+    assert sum(r.valid for r in got) == 2 and len(got) == 30 + 4 + 19
+
+
+def test_tool_schemas_and_lone_surrogates(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "f", '{"n":1,"s":"\\ud800x"}', None), (1, "b", 2, "f", '{"n":true}', None),
+                                   (1, "c", 3, "f", '{"n":1.0,"\\udfff":2,"k":"z"}', None)], CALLS)
+    results = spark.createDataFrame([], "conv long, call_id string, at long, content string")
+    tool = {"type": "object", "properties": {"n": {"enum": [1]}, "s": {"type": "string"}, "k": {"const": "v"}}, "additionalProperties": False}
+    got = {r.call_id: r for r in toolcalls.link(calls, results, {"f": tool}).collect()}
+    assert got["a"].valid and '"s":"\\ud800x"' in got["a"].json and json.loads(got["a"].json)["arguments"]["s"] == "\ud800x"
+    assert got["b"].errors == ["$.n: not one of the listed values"]
+    assert got["c"].errors == ["$.k: not one of the listed values", "$.\\udfff: not known"]
+    for odd in ({"pattern": "^a$"}, {"type": "date"}, {"properties": {"x": {"anyOf": []}}}, {"items": {"format": "uri"}},
+                {"additionalProperties": {}}):
+        with pytest.raises(ValueError):
+            toolcalls.link(calls, results, {"f": odd})
+
+
 def test_every_user_turn_is_a_call(spark):
     turns = spark.read.parquet(f"{SF_SMOKE}/conversations.parquet").collect()
     got = toolcalls.conversations_query(spark, SF_SMOKE).collect()
+    assert sum(bool(r.calls) for r in got) == sum(t.role != "assistant" for t in turns)
     assert {(r.conv_id, r.call_id) for r in got if r.calls} == {(t.conv_id, f"call_{t.turn}") for t in turns if t.role != "assistant"}
     for r in got:
         if r.calls:
@@ -274,6 +305,16 @@ def test_pipeline_stages(spark, odd):
     assert odd_docs.count() > 0
 
 
+def test_pipeline_keeps_columns_named_like_its_own(spark, odd):
+    import corpus_pipeline as C
+    docs = odd.withColumnRenamed("kept", "langid")
+    for name, stage in C.STAGES:
+        if name in ("language_id", "mix_sources"):
+            got = stage(spark, docs, SF_SMOKE)
+            assert got.schema == docs.schema
+            assert {(r.mix, r.langid) for r in got.collect()} == {("m", "k")}
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
