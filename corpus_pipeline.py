@@ -23,14 +23,23 @@ BATCH_ROWS = 1000
 LEAST_SCORE = 0.5
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; texts without a letter and null texts go."""
-    told = (F.col("langid.lang") != langid.UNKNOWN) & (F.col("langid.score") >= LEAST_SCORE)
-    return langid.identify(docs).where(told).select(docs.columns)
+    into = unused(docs, "langid")
+    told = (F.col(into)["lang"] != langid.UNKNOWN) & (F.col(into)["score"] >= LEAST_SCORE)
+    return langid.identify(docs, into=into).where(told).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand in an earlier place."""
+    """All documents, without the lines that stand in an earlier place; null and empty texts stay as
+    they are, of repeated rows the later one is left without its lines."""
     out = linededup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
@@ -41,12 +50,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix repeats them."""
-    return mixing.repeat(mixing.mix(docs)).select(docs.columns)
+    """Documents as often as the mix repeats them; null and empty texts have no size, rows that share
+    an id or have none count one by one."""
+    into = unused(docs, "mix")
+    return mixing.repeat(mixing.mix(docs, into=into), into).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in the training sequences."""
+    """Pieces of documents with their place in the training sequences; every row is packed, repeated
+    ones again, null and empty texts as their one closing token."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
