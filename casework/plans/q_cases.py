@@ -9,11 +9,13 @@ from casework.operators import cases as C
 from casework.operators import intake as I
 from casework.operators import labels as L
 from casework.operators import sampling as SM
+from casework.operators import validate as V
 from casework.plans import sqltext as S
 from casework.plans.registry import register
 from casework.session import read_table, scratch_path
 from casework.sources import csv as CSV
 from casework.sources import fixtures as FX
+from casework.sources import tables as TB
 
 FIXED_NOW = "TIMESTAMP_NTZ '2024-06-01 00:00:00'"
 SQL_NOW = "TIMESTAMP '2024-06-01 00:00:00'"
@@ -192,6 +194,77 @@ def build_cases(spark, sf_dir):
     return records
 
 
+# -- S1-S3, S6, S7, V7: files with their own headers, stored and counted in one run -------------------
+
+def _rule_labels(up):
+    """Severity and emotion by rules, for blank labels."""
+    up = L.with_lower(up, "complaint_text")
+    up = (up.withColumn("_pred_severity", L.derive_severity("_lower", tiers=FX.FIXTURE_SEVERITY_TIERS, lowered=True))
+            .withColumn("_pred_emotion", L.derive_emotion("_lower", FX.FIXTURE_EMOTION_TIERS, lowered=True)).drop("_lower"))
+    return up, {"severity": "_pred_severity", "emotion": "_pred_emotion"}
+
+
+def _stored_upload(spark, sf_dir):
+    """All cases as an upload of files with two header orders (German ones the other way round), stored."""
+    folder = scratch_path(spark, "upload") + "/cases.csv"
+    up = _upload_frame(spark, sf_dir)
+    german = F.coalesce(F.col("channel") == "de", F.lit(False))
+    CSV.write_csv(up.where(~german), folder)
+    CSV.write_csv(up.where(german).select(*reversed(up.columns)), folder, mode="append")
+    table = scratch_path(spark, "intake")
+    counts = I.store_upload(spark, folder, table, _rule_labels, now=F.expr(FIXED_NOW),
+                            id_col=F.concat(F.lit("csv-"), F.col("customer_id")))
+    return table, counts
+
+
+def _sql_judged(select: str) -> str:
+    t = S.py_strip("complaint_text")
+    missing = ", ".join(S.sql_str(x) for x in lexicon.CSV_NA_VALUES)
+    stripped = (f"SELECT {t} AS complaint_text, customer_id FROM up WHERE complaint_text <> '' "
+                f"AND complaint_text NOT IN ({missing})")
+    ctes, sel = S.validated_select("st", "customer_id", "complaint_text", V.Rules(), extra_cols=", complaint_text")
+    return FX.with_views(select, names=["cases"], ctes=[("up", _upload_sql()), ("st", stripped), *ctes, ("_v", sel)])
+
+
+@register("store_upload", _sql_build)
+def store_upload(spark, sf_dir):
+    """Cases read back from the table that the upload was stored in."""
+    table, _ = _stored_upload(spark, sf_dir)
+    return TB.read_accepted(spark, table)
+
+
+@register("store_rejects", lambda: _sql_judged(
+    "SELECT customer_id, complaint_text, reason_code, reason FROM _v WHERE NOT passed"))
+def store_rejects(spark, sf_dir):
+    """Rejected rows of the same run, with why."""
+    table, _ = _stored_upload(spark, sf_dir)
+    return TB.read_rejected(spark, table).select("customer_id", "complaint_text", "reason_code", "reason")
+
+
+@register("store_counts", lambda: _sql_judged(
+    "SELECT count(*) FILTER (WHERE passed) AS stored, count(*) FILTER (WHERE NOT passed) AS skipped, "
+    "count(*) AS total_rows FROM _v"))
+def store_counts(spark, sf_dir):
+    """What the run that stored the upload counted."""
+    _, counts = _stored_upload(spark, sf_dir)
+    return spark.createDataFrame([(counts["stored"], counts["skipped"], counts["total_rows"])],
+                                 "stored long, skipped long, total_rows long")
+
+
+@register("store_seeds", _sql_seed)
+def store_seeds(spark, sf_dir):
+    """The raw feed read from CSV, prepared, seeded, appended by day and read back."""
+    folder = scratch_path(spark, "feed") + "/feed.csv"
+    CSV.write_csv(FX.raw_feed(spark, sf_dir), folder)
+    raw = CSV.read_checked(spark, folder)
+    prep = I.prepare_feed(raw.where(F.col(CSV.UNREADABLE).isNull()).drop(CSV.UNREADABLE),
+                          order_col=F.col("`Complaint ID`").cast("long"),
+                          severity_tiers=FX.FIXTURE_SEVERITY_TIERS, emotion_tiers=FX.FIXTURE_EMOTION_TIERS)
+    table = scratch_path(spark, "seeds")
+    TB.append_cases(I.seed_cases(prep, now=F.expr(FIXED_NOW), id_col=F.concat(F.lit("seed-"), F.col("customer_id"))), table)
+    return TB.read_cases(spark, table)
+
+
 # -- A1-A3, O1, P7, V10: listing -------------------------------------------------
 
 @register("list_page", lambda: FX.with_views(

@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from casework.operators import cases as C
@@ -39,6 +40,9 @@ def feed_slices(df: DataFrame, path: str, n_slices: int,
         return [lambda: df.write.mode("append").parquet(path)]
     bounds = df.select(F.percentile_approx(order_col, [i / n_slices for i in range(1, n_slices)], 10000)
                        .alias("q")).first()["q"]
+    if not bounds:
+        # no row has an order value: one delivery of whatever is there
+        return [lambda: df.write.mode("append").parquet(path)]
     edges = [None, *bounds, None]
 
     def step(lo, hi):
@@ -52,7 +56,7 @@ def feed_slices(df: DataFrame, path: str, n_slices: int,
                 part = part.where(keep | F.col(order_col).isNull() if lo is None else keep)
             part.write.mode("append").parquet(path)
         return write
-    return [step(edges[i], edges[i + 1]) for i in range(n_slices)]
+    return [step(lo, hi) for lo, hi in zip(edges, edges[1:])]
 
 
 def stage_files(df: DataFrame, path: str, n_files: int, order_col: str | None = None) -> str:
@@ -208,8 +212,13 @@ def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_
     untimed = file_stream(spark, source_path, schema, None).where(F.col(ts_col).cast("timestamp").isNull())
     sink = _versioned_sink(out_path, lambda batch: {"untimed": batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))})
     run_available(untimed.writeStream.foreachBatch(sink), "volume-untimed", spark)
-    v = _read_versions(spark, f"{out_path}/out")
-    found = (_read_versions(spark, f"{out_path}/untimed").groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+    v, u = _read_versions(spark, f"{out_path}/out"), _read_versions(spark, f"{out_path}/untimed")
+    fields = {f.name: f.dataType for f in s.schema}
+    nothing = spark.createDataFrame([], T.StructType([T.StructField("window_start", T.TimestampType()),
+                                                      *[T.StructField(k, fields[k]) for k in keys], T.StructField("n", T.LongType())]))
+    v = nothing.withColumn("batch", F.lit(0)) if v is None else v
+    u = nothing if u is None else u
+    found = (u.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
              .select(F.lit(None).cast("timestamp").alias("window_start"), *keys, "n"))
     latest = latest_version(v.withColumn("_k", F.struct("window_start", *keys)), "_k")
     return latest.drop("_k").unionByName(found)

@@ -40,6 +40,80 @@ def test_upload_requires_csv_and_text_column(spark):
         CSV.read_upload(spark, path)
 
 
+def _file(folder, name, text):
+    import os
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w") as f:
+        f.write(text)
+
+
+def _local(spark, name):
+    path = scratch_path(spark, name) + "/up load.csv"
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
+def test_files_are_read_by_their_own_headers(spark):
+    folder = _local(spark, "t-heads")
+    _file(folder, "a.csv", 'complaint_text,category\n"one, ""two""\nlines",A\nshort\nx,y,z\n')
+    _file(folder, "b.csv", 'category,extra,complaint_text\nB,9,NULL\nC,8,third\n')
+    _file(folder, "c.csv", "")
+    got = {tuple(r) for r in CSV.read_checked(spark, folder).select("complaint_text", "category", "extra", CSV.UNREADABLE).collect()}
+    assert {g for g in got if g[3] is None} == {('one, "two"\nlines', "A", None, None), (None, "B", "9", None), ("third", "C", "8", None)}
+    assert {g[3] for g in got if g[3] is not None} == {"short", "x,y,z"}
+    assert CSV.read_checked(spark, folder).count() == 5
+    assert CSV.read_checked(spark, folder).select("category").where("category = 'y'").count() <= 1
+
+
+def test_an_unclosed_quote_spoils_its_line_or_the_rest_of_its_file(spark):
+    folder = _local(spark, "t-quote")
+    _file(folder, "a.csv", 'complaint_text,category\nfirst,A\n"never closed,B\nthird,C\nfourth,D\n')
+    _file(folder, "b.csv", 'complaint_text,category\nother,E\n')
+    whole = CSV.read_checked(spark, folder).collect()
+    assert {r.category for r in whole if r[CSV.UNREADABLE] is None} == {"A", "E"}
+    assert ["never closed" in r[CSV.UNREADABLE] and "fourth" in r[CSV.UNREADABLE] for r in whole if r[CSV.UNREADABLE]] == [True]
+    lines = CSV.read_checked(spark, folder, quoted_newlines=False).collect()
+    assert {r.category for r in lines if r[CSV.UNREADABLE] is None} == {"A", "C", "D", "E"}
+    assert [r[CSV.UNREADABLE] for r in lines if r[CSV.UNREADABLE]] == ['"never closed,B']
+
+
+def test_headers_that_cannot_be_used_are_refused(spark):
+    for text in ("", "a,a\n1,2\n", "a,,b\n", '"a\nb",c\n1,2\n'):
+        folder = _local(spark, "t-odd")
+        _file(folder, "a.csv", text)
+        with pytest.raises(ValueError):
+            CSV.read_checked(spark, folder)
+
+
+GOOD = "My card was charged twice for the same purchase last week and the bank has not answered any letter."
+
+
+def test_an_upload_is_stored_and_counted_in_one_run(spark):
+    from casework.sources import tables as TB
+    folder, table = _local(spark, "t-store"), scratch_path(spark, "t-table")
+    _file(folder, "a.csv", f'complaint_text,category,customer_id\n"{GOOD}",FRAUD_DETECTION,1\ntoo short,,2\n,X,3\nbroken\n')
+    _file(folder, "b.csv", f'customer_id,complaint_text,channel\n4,"{GOOD} Again.",web\n')
+    want = {"stored": 2, "skipped": 2, "total_rows": 4}
+    assert I.store_upload(spark, folder, table) == want
+    stored = {r.customer_id: r for r in TB.read_accepted(spark, table).collect()}
+    assert set(stored) == {"1", "4"} and stored["1"].category == "FRAUD_DETECTION" and stored["4"].category == "UNKNOWN"
+    assert stored["4"].channel == "web" and stored["4"].complaint_text == GOOD + " Again."
+    assert {(r.complaint_text, r.reason_code) for r in TB.read_rejected(spark, table).collect()} == {
+        ("too short", "few_words"), ("broken", I.UNREADABLE)}
+    records, rejected = I.build_cases(CSV.read_upload(spark, folder + "/b.csv"))
+    assert set(records.columns) == set(TB.read_accepted(spark, table).columns)
+    assert I.store_upload(spark, folder, table) == want and TB.read_accepted(spark, table).count() == 4
+
+
+def test_an_upload_without_a_row_is_refused(spark):
+    folder, table = _local(spark, "t-none"), scratch_path(spark, "t-none")
+    _file(folder, "a.csv", "complaint_text,category\n,A\nNULL,B\n")
+    with pytest.raises(ValueError, match="no valid rows"):
+        I.store_upload(spark, folder, table)
+    _file(_local(spark, "t-col"), "a.csv", "text\na\n")
+    with pytest.raises(ValueError):
+        I.store_upload(spark, folder + "/missing.txt", table)
+
+
 def test_csv_round_trip(spark):
     src = spark.createDataFrame([("a \"quoted\"\nmulti-line, text", "x"), ("plain", None)],
                                 "complaint_text string, category string")

@@ -85,3 +85,13 @@ def test_volume_counts_events_without_a_time(spark):
         rest = []
         got = {(r["window_start"] and str(r["window_start"])[:10], *[r[k] for k in keys]): r["n"] for r in out.collect()}
         assert got == want
+
+
+def test_empty_and_untimed_feeds(spark):
+    schema = "event_id long, ts timestamp, kind string"
+    for data, want in (([], []), ([(1, None, "a"), (2, None, "a")], [(None, "a", 2)])):
+        src = scratch_path(spark, "t-empty-src")
+        first, *rest = J.feed_slices(spark.createDataFrame(data, schema), src, 4, "ts")
+        first()
+        out = J.run_volume(spark, src, schema, scratch_path(spark, "t-empty-out"), keys=("kind",), feed=rest)
+        assert [tuple(r) for r in out.collect()] == want
