@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from casework.session import written
 
-LOW, HIGH = 0.002, 0.2
+#: One text may have a third of all rows as near copies: its terms must stay below ``HIGH``.
+LOW, HIGH = 0.002, 0.5
 #: Of each subset, in 256ths, the share of the lexicon it keeps.
 SHARES = (128, 128, 128, 128, 32, 32, 32, 32, 4, 4, 4, 4, 4, 4, 4, 4)
 MAX_LEXICON = 2_000_000

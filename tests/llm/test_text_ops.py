@@ -1,6 +1,7 @@
 """SimHash, fuzzy lines, I-Match and language identification against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -213,6 +214,28 @@ def test_imatch_matches_sql(spark):
     assert sorted(tuple(r) for r in imatch.documents_query(spark, SF_SMOKE).select(cols).collect()) == want
 
 
+def test_imatch_of_a_text_with_a_third_of_all_rows_as_near_copies(spark):
+    """The real band: copies with one word changed are alike, other documents are not."""
+    rnd = random.Random(3)
+    voc, weights = [f"w{i}" for i in range(3000)], [1 / (i + 3) for i in range(3000)]
+    base, rows = rnd.choices(voc, weights, k=200), []
+    for i in range(400):
+        words = list(base) if 100 <= i < 250 else rnd.choices(voc, weights, k=200)
+        if 100 <= i < 250:
+            words[rnd.randrange(200)] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.near_next for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in range(101, 250)) >= 0.4
+    assert max(got[i] for i in [*range(1, 100), *range(251, 400)]) <= 0.2
+
+
+def test_imatch_odd_rows_in_the_real_band(spark, odd, none):
+    got = imatch.fingerprints(odd).collect()
+    assert len(got) == len(ODD) and imatch.fingerprints(none).count() == 0
+    same = {r.fingerprint for r in got if r.doc_id == 1 and r.n_chars == len(ODD[0][1])}
+    assert len(same) == 1 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
 def test_imatch_odd_rows(spark, odd, none):
     got = imatch.fingerprints(odd, low=0.0, high=1.0).collect()
     assert len(got) == len(ODD) and imatch.fingerprints(none).count() == 0
