@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casework.operators import cases as C
 from casework.operators import labels as L
+from casework.operators import modelruns as MR
 from casework.operators import retrieve as R
 from casework.operators import validate as V
 from casework.session import read_if_present, scratch_path
@@ -224,6 +225,20 @@ def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_
     return latest.drop("_k").unionByName(found)
 
 
+# -- ST1, M12: scoring with the active model ----------------------------------------------------
+
+def run_scoring(spark: SparkSession, source_path: str, schema, base: str, out_path: str, id_col: str = "id",
+                text_col: str = "complaint_text", feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Score each micro-batch with the model that is active when it begins (``modelruns``), so a new
+    version is picked up between batches; a replayed batch rewrites its own folder as a whole."""
+    def score(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()         # term counts and ids both read it
+        MR.score(batch, id_col, text_col, base).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        batch.unpersist()
+    run_available(_source(spark, source_path, schema, feed).writeStream.foreachBatch(score), "score", spark, feed)
+    return spark.read.parquet(out_path)
+
+
 # -- ST4: index refresh per micro-batch -----------------------------------------------------------
 
 def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path: str, dim: int = 64,
