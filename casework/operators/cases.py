@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LIST_COLUMNS = [
     ("id", None), ("complaint_text", ""), ("category", ""), ("severity", ""), ("emotion", ""),
@@ -62,6 +63,44 @@ def list_page(df: DataFrame, page: int = 1, limit: int = 50, category: str | Non
     return list_projection(ordered.limit(limit))
 
 
+def page_cursor(page: DataFrame) -> tuple[str | None, object] | None:
+    """Place of a page's last row, as ``list_after`` takes it; None for an empty page.
+
+    The time travels as text (with its offset where the column has a zone), so it means the same
+    instant in whatever zone it is read."""
+    zoned = isinstance(page.schema["created_at"].dataType, T.TimestampType)
+    at = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX") if zoned else F.col("created_at").cast("string")
+    last = (page.orderBy(F.col("created_at").asc_nulls_first(), F.col("id").desc())
+                .select(at.alias("at"), "id").limit(1).collect())
+    return (last[0]["at"], last[0]["id"]) if last else None
+
+
+def list_after(df: DataFrame, after: tuple[str | None, object] | None = None, limit: int = 50,
+               category: str | None = None, severity: str | None = None, status: str | None = None,
+               day_col: str | None = None) -> DataFrame:
+    """The page that follows the place ``after`` (None: the first), in the order of ``list_page``.
+
+    Each task keeps ``limit`` rows however deep the page lies, and rows added in front do not shift
+    it.  ``day_col`` names the column that holds the date of ``created_at``, by which a stored case
+    table is partitioned: folders of days after the place are not read.  Cases without a time come
+    last, by id."""
+    check_page_args(1, limit)
+    f = equality_filter(df, category=category, severity=severity, status=status)
+    if after is not None:
+        at, last_id = after
+        created = F.col("created_at")
+        if at is None:
+            f = f.where(created.isNull() & (F.col("id") > F.lit(last_id)))
+            if day_col:
+                f = f.where(F.col(day_col).isNull())
+        else:
+            place = F.lit(at).cast(df.schema["created_at"].dataType)
+            f = f.where((created < place) | ((created == place) & (F.col("id") > F.lit(last_id))) | created.isNull())
+            if day_col:
+                f = f.where((F.col(day_col) <= F.to_date(place)) | F.col(day_col).isNull())
+    return list_projection(f.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc()).limit(limit))
+
+
 def filter_count(df: DataFrame, category: str | None = None, severity: str | None = None,
                  status: str | None = None) -> DataFrame:
     f = equality_filter(df, category=category, severity=severity, status=status)
@@ -102,6 +141,33 @@ def fold_updates(updates: DataFrame, key: str = "case_id", ts_col: str = "ts",
                                     F.count(F.lit(1)).cast("long").alias("n_updates"))
 
 
+def partial_updates(updates: DataFrame, key: str = "case_id", ts_col: str = "ts", tie_col: str = "event_id",
+                    fields: Sequence[str] = UPDATE_FIELDS) -> DataFrame:
+    """``fold_updates`` in a form that can be folded again: each field as the greatest
+    (ts, tie, value) of its non-empty values.  Updates may come in any order and in any batches."""
+    given = [f for f in fields if f in updates.columns]
+    filled = {f: F.coalesce(F.col(f), F.lit("")) != "" for f in given}
+    newest = [F.max(F.when(filled[f], F.struct(F.col(ts_col).alias("ts"), F.col(tie_col).alias("tie"),
+                                               F.col(f).alias("value")))).alias(f) for f in given]
+    changes = F.lit(False)
+    for f in given:
+        changes = changes | filled[f]
+    return updates.groupBy(key).agg(*newest, F.max(F.when(changes, F.col(ts_col))).alias("last_update"),
+                                    F.count(F.lit(1)).alias("n_updates"))
+
+
+def merge_partials(parts: DataFrame, key: str = "case_id") -> DataFrame:
+    """Rows of ``partial_updates`` of several batches as one row a case."""
+    newest = [F.max(c).alias(c) for c in parts.columns if c not in (key, "n_updates")]
+    return parts.groupBy(key).agg(*newest, F.sum("n_updates").alias("n_updates")).select(parts.columns)
+
+
+def partial_values(parts: DataFrame, key: str = "case_id") -> DataFrame:
+    """Merged partials as the rows of ``fold_updates``."""
+    plain = (key, "last_update", "n_updates")
+    return parts.select(*[F.col(c) if c in plain else F.col(c)["value"].alias(c) for c in parts.columns])
+
+
 def apply_updates(base: DataFrame, updates: DataFrame, key: str = "case_id",
                   ts_col: str = "ts", tie_col: str = "event_id",
                   fields: Sequence[str] = UPDATE_FIELDS) -> DataFrame:

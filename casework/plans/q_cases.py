@@ -278,6 +278,25 @@ def list_page(spark, sf_dir):
     return C.list_page(FX.vol_cases(spark, sf_dir), page=PAGE, limit=PAGE_LIMIT, **LIST_FILTER)
 
 
+@register("list_after", lambda: FX.with_views(
+    "SELECT id, coalesce(complaint_text, '') AS complaint_text, coalesce(category, '') AS category, "
+    "coalesce(severity, '') AS severity, coalesce(emotion, '') AS emotion, coalesce(status, 'open') AS status, "
+    "coalesce(source, 'unknown') AS source, coalesce(generation_method, 'unknown') AS generation_method, "
+    f"created_at FROM vol_cases WHERE category = 'BUILDING' AND status = 'open' "
+    f"ORDER BY created_at DESC, id ASC LIMIT {PAGE_LIMIT} OFFSET {(PAGE - 1) * PAGE_LIMIT}",
+    names=["vol_cases"]))
+def list_after(spark, sf_dir):
+    """The page of ``list_page``, reached by cursor over the stored case table."""
+    path = scratch_path(spark, "list-after")
+    TB.append_cases(FX.vol_cases(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    page, after = None, None
+    for _ in range(PAGE):
+        page = C.list_after(stored, after, PAGE_LIMIT, day_col=TB.CASE_PARTITION, **LIST_FILTER)
+        after = C.page_cursor(page)
+    return page
+
+
 @register("filter_count", lambda: FX.with_views(
     "SELECT count(*) AS total FROM vol_cases WHERE category = 'BUILDING' AND status = 'open'",
     names=["vol_cases"]))

@@ -7,6 +7,11 @@ the same rows agree.  Sinks are ``foreachBatch`` writes into
 ``<path>/batch=<id>`` folders with overwrite, so a replayed micro-batch
 replaces its own output (idempotent), and every query checkpoints under the
 cluster's shared checkpoint folder.
+
+Status and volume keep no state in the stream: a batch writes what its own rows
+come to, in a form that can be folded again, and a ``BatchLog`` folds the batches
+on read and, from time to time, into one table.  State would hold one row for each
+case that ever had an update, for good.
 """
 
 from __future__ import annotations
@@ -92,36 +97,6 @@ def _versioned_sink(path: str, prepare: Callable[[DataFrame], dict[str, DataFram
     return write
 
 
-STATE_STORE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_STORE_DEFAULTS = {
-    STATE_STORE_PROVIDER: ROCKSDB_PROVIDER,
-    # commit a changelog per micro-batch, snapshot in the background
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
-
-
-def _start(spark: SparkSession, writer) -> StreamingQuery:
-    """Start a query with RocksDB state unless the session chose a provider.
-
-    The default store keeps every state row (one per case or window) on the
-    executor heap; RocksDB keeps it off-heap / on local disk with incremental
-    checkpoints, so state grows with the data without growing the heap.  The
-    query copies the session's settings when it starts (and pins the provider
-    in its checkpoint), so the settings are only changed around ``start``.
-    """
-    changed = {k: v for k, v in STATE_STORE_DEFAULTS.items() if spark.conf.get(k, None) is None}
-    if spark.conf.get(STATE_STORE_PROVIDER, None) is not None:
-        changed = {}
-    for k, v in changed.items():
-        spark.conf.set(k, v)
-    try:
-        return writer.start()
-    finally:
-        for k in changed:
-            spark.conf.unset(k)
-
-
 def run_available(query_builder, name: str, spark: SparkSession,
                   feed: Sequence[Callable[[], None]] = ()) -> StreamingQuery:
     """Run with ``availableNow`` (process what is there, then stop) and wait;
@@ -132,7 +107,7 @@ def run_available(query_builder, name: str, spark: SparkSession,
     for deliver in [None, *feed]:
         if deliver is not None:
             deliver()
-        q = _start(spark, query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True))
+        q = query_builder.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))
@@ -144,6 +119,74 @@ def _read_versions(spark: SparkSession, path: str) -> DataFrame | None:
     return read_if_present(spark, path)
 
 
+class BatchLog:
+    """What a stream's batches came to: ``<path>/out/batch=<id>``, folded every ``every`` batches.
+
+    ``fold`` maps rows of several batches to fewer rows of the same columns, and must not mind in
+    which order or how often it is applied.  A fold is a new table, ``<path>/folded/upto=<id>``; it counts
+    from the moment ``<path>/folds`` names it, so a job that dies while folding leaves the log as it
+    was.  Folders that the fold before already covered are removed then (readers that began earlier
+    than that fold must be done), so what is listed and read on each turn stays bounded by the
+    folded rows and ``2 * every`` batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fold: Callable[[DataFrame], DataFrame], every: int = 64):
+        if every < 1:
+            raise ValueError("every must be at least 1")
+        self.spark, self.path, self.fold, self.every = spark, path, fold, every
+
+    def folds(self) -> list[int]:
+        """Last batch of each fold so far (a row for each fold)."""
+        named = read_if_present(self.spark, f"{self.path}/folds")
+        return [] if named is None else sorted({r["upto"] for r in named.collect()})
+
+    def rows(self, before: int | None = None) -> DataFrame | None:
+        """Rows of all batches (below ``before``), earlier ones folded; None before the first output."""
+        out = read_if_present(self.spark, f"{self.path}/out")
+        if out is None:
+            return None
+        if before is not None:
+            out = out.where(F.col("batch") < before)
+        folds = self.folds()
+        if not folds:
+            return out.drop("batch")
+        earlier = self.spark.read.parquet(f"{self.path}/folded/upto={folds[-1]}")
+        return out.where(F.col("batch") > folds[-1]).drop("batch").unionByName(earlier)
+
+    def read(self) -> DataFrame | None:
+        """All batches folded; None before the first output."""
+        rows = self.rows()
+        return None if rows is None else self.fold(rows)
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        """Write a batch; the batches before it are folded first where it is their turn."""
+        if batch_id and batch_id % self.every == 0:
+            self.fold_upto(batch_id - 1)
+        rows.write.mode("overwrite").parquet(f"{self.path}/out/batch={batch_id}")
+
+    def fold_upto(self, batch_id: int) -> None:
+        folds = self.folds()
+        if folds and folds[-1] >= batch_id:
+            return
+        rows = self.rows(batch_id + 1)
+        if rows is None:
+            return
+        self.fold(rows).write.mode("overwrite").parquet(f"{self.path}/folded/upto={batch_id}")
+        self.spark.createDataFrame([(batch_id,)], "upto long").write.mode("append").parquet(f"{self.path}/folds")
+        if folds:
+            covered = range(folds[-2] + 1 if len(folds) > 1 else 0, folds[-1] + 1)
+            remove_folders(self.spark, [f"{self.path}/out/batch={b}" for b in covered]
+                           + [f"{self.path}/folded/upto={folds[-1]}"])
+
+
+def remove_folders(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Remove folders on whatever file system they lie; one that is not there is passed over."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 # -- ST1: triage -----------------------------------------------------------------------------
 
 def triage_stream(stream: DataFrame, rules: V.Rules, text_col: str = "complaint_text",
@@ -176,53 +219,73 @@ def run_triage(spark: SparkSession, source_path: str, schema, out_path: str, rul
 
 def run_status(spark: SparkSession, source_path: str, schema, out_path: str,
                project: Callable[[DataFrame], DataFrame],
-               feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
-    """Streaming fold of the update log (update mode: one state row per case);
-    each micro-batch writes the cases it changed, the current table is the
-    newest version per case."""
+               feed: Sequence[Callable[[], None]] = (), fold_every: int = 64) -> DataFrame | None:
+    """Fold of the update log as it grows: each micro-batch writes the newest value it holds of each
+    field of each case it touches; the current table is the fold of the batches (``C.fold_updates``
+    over all updates, whatever the order they came in).  None before the first batch."""
+    log = BatchLog(spark, out_path, C.merge_partials, fold_every)
     updates = project(_source(spark, source_path, schema, feed))
-    folded = C.fold_updates(updates)
-    run_available(folded.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)),
+    run_available(updates.writeStream.foreachBatch(lambda b, i: log.append(C.partial_updates(b), i)),
                   "status", spark, feed)
-    return latest_version(_read_versions(spark, f"{out_path}/out"), "case_id")
+    rows = log.read()
+    return None if rows is None else C.partial_values(rows)
 
 
-def latest_version(versions: DataFrame, key: str) -> DataFrame:
-    """Newest row per key across ``batch=<id>`` folders (a grouped max_by, no window)."""
-    cols = [c for c in versions.columns if c not in (key, "batch")]
-    best = F.max_by(F.struct(*cols), F.col("batch")).alias("_b")
-    return versions.groupBy(key).agg(best).select(key, *[F.col(f"_b.{c}").alias(c) for c in cols])
+# -- ST3: windowed volume with a watermark -------------------------------------------------------
 
+ON_TIME, LATE, UNTIMED = "on_time", "late", "untimed"
+
+
+def volume_log(spark: SparkSession, path: str, keys: Sequence[str] = (), fold_every: int = 64) -> BatchLog:
+    """(window_start, _kind, keys, n, _newest) of a volume job's batches."""
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("window_start", "_kind", *keys).agg(F.sum("n").alias("n"), F.max("_newest").alias("_newest"))
+    return BatchLog(spark, path, fold, fold_every)
+
+
+def volume_of_batch(batch: DataFrame, frontier: int | None, ts_col: str, keys: Sequence[str], window: str,
+                    watermark: str) -> DataFrame:
+    """Counts of a batch by window and keys, each window of one kind: on time, late (it had ended
+    ``watermark`` before ``frontier``, the newest event of the batches before, in milliseconds) or
+    untimed (null start).  One aggregate: an event is in exactly one count."""
+    ts = F.col(ts_col).cast("timestamp")
+    timed = batch.select(ts.alias("_ts"), *keys)
+    # F.window drops null times: they go through it under a stand-in, kept apart by the flag
+    stand_in = F.coalesce("_ts", F.timestamp_millis(F.lit(0))).alias("_at")
+    counts = (timed.select(stand_in, "_ts", F.col("_ts").isNull().alias("_none"), *keys)
+              .groupBy(F.window("_at", window).alias("_w"), "_none", *keys)
+              .agg(F.count(F.lit(1)).alias("n"), F.max("_ts").alias("_newest")))
+    late = F.lit(False)
+    if frontier is not None:
+        late = F.col("_w.end") <= F.timestamp_millis(F.lit(frontier)) - F.expr(f"INTERVAL {watermark}")
+    kind = F.when(F.col("_none"), UNTIMED).when(late, LATE).otherwise(ON_TIME)
+    return counts.select(F.when(~F.col("_none"), F.col("_w.start")).alias("window_start"), kind.alias("_kind"),
+                         *keys, "n", "_newest")
 
-# -- ST3: windowed volume with a watermark -------------------------------------------------------
 
 def run_volume(spark: SparkSession, source_path: str, schema, out_path: str, ts_col: str = "ts",
                keys: tuple[str, ...] = (), window: str = "1 day", watermark: str = "1 hour",
-               feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
-    """Event-time counts per window; events later than the watermark are dropped.
-    Update mode: every trigger writes the windows it changed.  Events without a time are
-    counted under a null window, by a second query without state (``F.window`` drops them)
-    whose batches' counts are summed, run when all is delivered."""
-    s = _source(spark, source_path, schema, feed).withColumn("_ts", F.col(ts_col).cast("timestamp"))
-    agg = (s.withWatermark("_ts", watermark)
-             .groupBy(F.window("_ts", window).alias("w"), *keys)
-             .agg(F.count(F.lit(1)).cast("long").alias("n"))
-             .select(F.col("w.start").alias("window_start"), *keys, "n"))
-    run_available(agg.writeStream.outputMode("update").foreachBatch(_versioned_sink(out_path)), "volume", spark,
-                  feed)
-    untimed = file_stream(spark, source_path, schema, None).where(F.col(ts_col).cast("timestamp").isNull())
-    sink = _versioned_sink(out_path, lambda batch: {"untimed": batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))})
-    run_available(untimed.writeStream.foreachBatch(sink), "volume-untimed", spark)
-    v, u = _read_versions(spark, f"{out_path}/out"), _read_versions(spark, f"{out_path}/untimed")
-    fields = {f.name: f.dataType for f in s.schema}
-    nothing = spark.createDataFrame([], T.StructType([T.StructField("window_start", T.TimestampType()),
-                                                      *[T.StructField(k, fields[k]) for k in keys], T.StructField("n", T.LongType())]))
-    v = nothing.withColumn("batch", F.lit(0)) if v is None else v
-    u = nothing if u is None else u
-    found = (u.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
-             .select(F.lit(None).cast("timestamp").alias("window_start"), *keys, "n"))
-    latest = latest_version(v.withColumn("_k", F.struct("window_start", *keys)), "_k")
-    return latest.drop("_k").unionByName(found)
+               feed: Sequence[Callable[[], None]] = (), fold_every: int = 64, kinds: bool = False) -> DataFrame:
+    """Event-time counts per window: (window_start, keys, n), events without a time under a null window.
+
+    Every batch counts its own rows in one pass.  A row whose window ended ``watermark`` or longer before
+    the newest event of the batches before is late and not in the counts; it is counted beside
+    them.  With ``kinds`` the result has a column ``kind`` and all three: on time, late and untimed
+    add up to the input.  An empty feed gives an empty result."""
+    log = volume_log(spark, out_path, keys, fold_every)
+    s = _source(spark, source_path, schema, feed)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        earlier = log.rows(batch_id)
+        frontier = None if earlier is None else earlier.agg(F.max(F.unix_millis("_newest"))).first()[0]
+        log.append(volume_of_batch(batch, frontier, ts_col, keys, window, watermark), batch_id)
+    run_available(s.writeStream.foreachBatch(count), "volume", spark, feed)
+    rows = log.read()
+    if rows is None:
+        rows = volume_of_batch(spark.createDataFrame([], s.schema), None, ts_col, keys, window, watermark)
+    if kinds:
+        return rows.drop("_newest").withColumnRenamed("_kind", "kind")
+    return rows.where(F.col("_kind") != LATE).drop("_kind", "_newest")
 
 
 # -- ST1, M12: scoring with the active model ----------------------------------------------------

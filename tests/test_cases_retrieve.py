@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from casework.operators import cases as C
 from casework.operators import retrieve as R
+from casework.session import scratch_path
+from casework.sources import tables as TB
 
 from .conftest import rows
 
@@ -128,3 +130,31 @@ def test_every_case_is_indexed_with_its_whole_text(spark):
                                         "repeat('word ', 100) complaint_text", "timestamp_seconds(id) created_at")
     rows = R.index_rows(df)
     assert rows.count() == 10_050 and rows.first().complaint_text == "word " * 100
+
+
+def test_pages_by_cursor_equal_pages_by_offset(spark):
+    """Ties, null times, several pages past the end; both kinds of time column; only days up to the cursor are read."""
+    data = [(f"{i:03d}", None if i % 11 == 0 else f"2024-01-{1 + i % 6:02d} {i % 3:02d}:00:00.000{i % 2}", "AB"[i % 2])
+            for i in range(95)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(data, "id string, t string, category string").selectExpr(
+            "id", f"CAST(t AS {kind}) AS created_at", "category", "'x' AS complaint_text")
+        path = scratch_path(spark, "t-keyset")
+        assert TB.append_cases(df, path) == 95
+        stored = spark.read.parquet(path)
+        for filters in ({}, {"category": "A"}):
+            after, n = None, 0
+            for page in range(1, 12):
+                got = C.list_after(stored, after, 10, day_col=TB.CASE_PARTITION, **filters)
+                assert [r["id"] for r in got.collect()] == [
+                    r["id"] for r in C.list_page(df, page, 10, **filters).collect()]
+                n += got.count()
+                at = C.page_cursor(got)
+                if at is None:
+                    break
+                after = at
+            assert n == C.filter_count(df, **filters).first()["total"]
+        plan = C.list_after(stored, ("2024-01-02 00:00:00", "5"), 10, day_col=TB.CASE_PARTITION) \
+            ._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [((created_date" in plan and "TakeOrderedAndProject" in plan
+    assert C.page_cursor(stored.where("false")) is None

@@ -95,3 +95,75 @@ def test_empty_and_untimed_feeds(spark):
         first()
         out = J.run_volume(spark, src, schema, scratch_path(spark, "t-empty-out"), keys=("kind",), feed=rest)
         assert [tuple(r) for r in out.collect()] == want
+
+
+def _status_feed(n_batches, per_batch):
+    """Updates dealt over deliveries out of time order, with ties, blanks and null keys."""
+    states = ["open", "in_progress", "", None, "resolved"]
+    out = []
+    for b in range(n_batches):
+        out.append([(b * per_batch + i, None if i == 7 else (b * 3 + i) % 5,
+                     f"2024-01-{1 + (b * 7 + i * 3) % 9:02d} 10:00:00", states[(b + 2 * i) % 5]) for i in range(per_batch)])
+    return out
+
+
+def test_status_log_is_folded_and_stays_bounded(spark):
+    """Batches in any order fold to what one fold over all updates gives; folders already folded go."""
+    src, out = scratch_path(spark, "t-fold"), scratch_path(spark, "t-fold-out")
+    batches = _status_feed(9, 9)
+    first, *rest = [(lambda b=b: _events(spark, b).write.mode("append").parquet(src)) for b in batches]
+    first()
+    schema = spark.read.parquet(src).schema
+    got = J.run_status(spark, src, schema, out, lambda d: d, feed=rest, fold_every=2)
+    want = C.fold_updates(_events(spark, [r for b in batches for r in b]))
+    cols = ["case_id", "status", "last_update", "n_updates"]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(rows(got, *cols), key=key) == sorted(rows(want, *cols), key=key)
+    log = J.BatchLog(spark, out, C.merge_partials, 2)
+    assert log.folds() == [1, 3, 5, 7]
+    left = {r["batch"] for r in spark.read.parquet(f"{out}/out").select("batch").distinct().collect()}
+    assert left == {6, 7, 8}
+    assert spark.read.parquet(f"{out}/folded/upto=7").count() == 6     # a row a case, one of them null
+
+
+def test_unnamed_fold_does_not_count(spark):
+    """A job that died after it wrote a fold, before it named it, leaves the log as it was; the fold is written again."""
+    path = scratch_path(spark, "t-torn")
+    log = J.BatchLog(spark, path, C.merge_partials, 2)
+    for i, batch in enumerate(_status_feed(3, 9)[:2]):
+        log.append(C.partial_updates(_events(spark, batch)), i)
+    before = sorted(rows(log.read().where("case_id IS NOT NULL"), "case_id", "n_updates"))
+    log.read().limit(1).write.parquet(f"{path}/folded/upto=1")
+    assert sorted(rows(log.read().where("case_id IS NOT NULL"), "case_id", "n_updates")) == before
+    log.fold_upto(1)
+    log.fold_upto(1)
+    assert log.folds() == [1]
+    assert sorted(rows(log.read().where("case_id IS NOT NULL"), "case_id", "n_updates")) == before
+
+
+def test_replayed_batch_replaces_its_own_rows(spark):
+    log = J.BatchLog(spark, scratch_path(spark, "t-replay"), C.merge_partials, 1)
+    for i, batch in [(0, 0), (1, 1), (1, 1), (2, 2), (2, 2)]:
+        log.append(C.partial_updates(_events(spark, _status_feed(3, 9)[batch])), i)
+    assert log.read().agg({"n_updates": "sum"}).first()[0] == 27
+
+
+def test_on_time_late_and_untimed_add_up_to_the_input(spark):
+    batches = [
+        [(1, 1, "2024-01-01 10:00:00", "a"), (2, 1, "2024-01-03 10:00:00", "a"), (3, 1, None, "b")],
+        [(4, 1, "2024-01-03 09:30:00", "a"), (5, 1, "2024-01-02 23:59:00", "b"), (6, 1, "2024-01-09 00:00:00", "a")],
+        [(7, 1, "2024-01-01 11:00:00", "a"), (8, 1, None, None), (9, 1, "2024-01-09 05:00:00", None)],
+        [(10, 1, "2024-01-03 11:00:00", "a"), (11, 1, "2024-01-03 11:00:00", "a")],
+    ]
+    for every in (1, 2, 64):
+        src = scratch_path(spark, "t-kinds")
+        first, *rest = [(lambda b=b: _events(spark, b).write.mode("append").parquet(src)) for b in batches]
+        first()
+        out = J.run_volume(spark, src, spark.read.parquet(src).schema, scratch_path(spark, "t-kinds-out"), "ts",
+                           ("status",), feed=rest, fold_every=every, kinds=True)
+        got = {(r["kind"], r["window_start"] and str(r["window_start"])[:10], r["status"]): r["n"] for r in out.collect()}
+        assert got == {
+            ("on_time", "2024-01-01", "a"): 1, ("on_time", "2024-01-03", "a"): 2, ("on_time", "2024-01-09", "a"): 1,
+            ("on_time", "2024-01-09", None): 1, ("late", "2024-01-01", "a"): 1, ("late", "2024-01-02", "b"): 1,
+            ("late", "2024-01-03", "a"): 2, ("untimed", None, "b"): 1, ("untimed", None, None): 1}
+        assert sum(got.values()) == 11
