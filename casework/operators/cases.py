@@ -81,9 +81,9 @@ def list_after(df: DataFrame, after: tuple[str | None, object] | None = None, li
     """The page that follows the place ``after`` (None: the first), in the order of ``list_page``.
 
     Each task keeps ``limit`` rows however deep the page lies, and rows added in front do not shift
-    it.  ``day_col`` names the column that holds the date of ``created_at``, by which a stored case
-    table is partitioned: folders of days after the place are not read.  Cases without a time come
-    last, by id."""
+    it.  ``day_col`` names the column by which a stored case table is partitioned, the date of
+    ``created_at`` or the first day of its week, month or year: later folders than the place's are
+    not read.  Cases without a time come last, by id."""
     check_page_args(1, limit)
     f = equality_filter(df, category=category, severity=severity, status=status)
     if after is not None:

@@ -288,7 +288,7 @@ def list_page(spark, sf_dir):
 def list_after(spark, sf_dir):
     """The page of ``list_page``, reached by cursor over the stored case table."""
     path = scratch_path(spark, "list-after")
-    TB.append_cases(FX.vol_cases(spark, sf_dir), path)
+    TB.append_cases(FX.vol_cases(spark, sf_dir), path, "month")
     stored = spark.read.parquet(path)
     page, after = None, None
     for _ in range(PAGE):

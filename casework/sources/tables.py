@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 CASE_PARTITION = "created_date"
 
 
-def append_cases(cases: DataFrame, path: str) -> int:
-    """One distributed append (chunking is implicit in the partitions); the number of rows, from the same job."""
+def append_cases(cases: DataFrame, path: str, grain: str = "day") -> int:
+    """One distributed append (chunking is implicit in the partitions); the number of rows, from the same job.
+
+    ``grain`` (day, week, month, year; one for a table) is what a folder holds: long histories of few cases
+    want fewer and larger ones.  The folder's name is the first day in it."""
     seen = Observation("append")
-    (cases.withColumn(CASE_PARTITION, F.to_date("created_at")).observe(seen, F.count(F.lit(1)).alias("stored"))
+    day = F.to_date("created_at")
+    (cases.withColumn(CASE_PARTITION, day if grain == "day" else F.trunc(day, grain)).observe(seen, F.count(F.lit(1)).alias("stored"))
           .write.mode("append").partitionBy(CASE_PARTITION).parquet(path))
     return seen.get["stored"]
 
