@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from casework.operators import caseindex as CI
 from casework.operators import cases as C
 from casework.operators import labels as L
 from casework.operators import modelruns as MR
@@ -306,13 +307,18 @@ def run_scoring(spark: SparkSession, source_path: str, schema, base: str, out_pa
 
 def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path: str, dim: int = 64,
                       feed: Sequence[Callable[[], None]] = ()) -> DataFrame:
-    """Embed only cases the index has not seen and append them (anti-join per batch)."""
+    """Grow the case index at ``index_path`` (``caseindex``) by the cases of each micro-batch that it does not hold.
+
+    A batch reads only the id buckets that its cases fall into, whatever the index holds by then, and can be
+    searched from its commit on.  One that is replayed after its commit adds nothing; one that
+    died before it is written again, and its half-written folders are never read.  An empty feed
+    gives an empty result."""
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        existing = _read_versions(spark, index_path)
-        rows = R.index_rows(batch)
-        if existing is not None:
-            # earlier batches only: a replayed batch rewrites its own folder in full
-            rows = rows.join(existing.where(F.col("batch") < batch_id).select("id"), "id", "left_anti")
-        R.build_index(rows, dim).write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
+        batch.persist()         # ids and texts both read it
+        CI.append(spark, batch, index_path, dim)
+        batch.unpersist()
     run_available(_source(spark, source_path, schema, feed).writeStream.foreachBatch(refresh), "index", spark, feed)
-    return spark.read.parquet(index_path).drop("batch")
+    m = CI.manifest(spark, index_path)
+    if m is None or not m.batches:
+        return R.build_index(R.index_rows(spark.createDataFrame([], schema)), dim, "double")
+    return CI.read(spark, index_path).drop("cell", "far", "norm", "block")
