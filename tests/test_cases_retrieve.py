@@ -158,3 +158,20 @@ def test_pages_by_cursor_equal_pages_by_offset(spark):
             ._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [((created_date" in plan and "TakeOrderedAndProject" in plan
     assert C.page_cursor(stored.where("false")) is None
+
+
+def test_dense_scores_are_held_a_slice_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+    g = np.random.default_rng(7)
+    q = pd.DataFrame({"qid": np.arange(1500), "v": list(g.normal(size=(1500, 16)))})
+    x = pd.DataFrame({"nid": np.arange(6000), "v": list(g.normal(size=(6000, 16)))})
+    tracemalloc.start()
+    got = R._dense_scorer(3, True, False)(q, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * 6000 * 8                       # less than the whole matrix of scores once
+    s = np.stack(q["v"]) @ np.stack(x["v"]).T
+    s[np.arange(1500), np.arange(1500)] = -np.inf
+    assert got["nid"].to_numpy().reshape(-1, 3).tolist() == np.argsort(-s, axis=1)[:, :3].tolist()
