@@ -86,3 +86,16 @@ def test_work_grows_slower_than_the_square(spark):
         first, rest = LX.open_blocks(index, q, 5, F.lit(True))
         done.append(first.count() + LX.scores(index, q, rest).count())
     assert done[1] < 8 * done[0]          # the square would be 16
+
+
+def test_an_area_sends_out_k_hits_a_query_and_no_blocks(spark):
+    """400 copies of one text: every block of theirs reaches the k-th score, yet no more than k hits leave an area."""
+    docs = [(i, "the same few words") for i in range(400)] + [(900, "few of them")]
+    w = index_of(spark, docs)
+    q = LX.written(w.where("doc_id in (3, 900)").select(F.col("doc_id").alias("qid"), "idx", F.col("weight").alias("w")), "t-q")
+    index = LX.build(w, block=4, area=64)
+    _, inside = LX.reaching(index, q, 3, F.lit(True))
+    hits = LX.opened(index, q, inside, 3).collect()
+    assert hits and max(Counter(r.qid for r in hits).values()) <= 3 * index.areas.select("area").distinct().count()
+    got = sorted((r.qid, r["rank"], r.nid) for r in LX.search(index, w.where("doc_id in (3, 900)"), 3).collect())
+    assert got == [(3, 1, 0), (3, 2, 1), (3, 3, 2), (900, 1, 900), (900, 2, 0), (900, 3, 1)]
