@@ -207,6 +207,8 @@ def run_triage(spark: SparkSession, source_path: str, schema, out_path: str, rul
                **tiers) -> tuple[DataFrame, DataFrame]:
     """accepted / rejected tables written per micro-batch; returns both, read back."""
     s = triage_stream(_source(spark, source_path, schema, feed), rules, **tiers)
+    # a batch is kept for its two tables: without the texts, which neither has
+    s = s.select(key, "passed", "category", "severity", "emotion", "word_count", "char_count", "reason_code", "reason")
 
     def split(b: DataFrame) -> dict[str, DataFrame]:
         return {"accepted": b.where("passed").select(key, "category", "severity", "emotion", "word_count",
@@ -314,9 +316,7 @@ def run_index_refresh(spark: SparkSession, source_path: str, schema, index_path:
     died before it is written again, and its half-written folders are never read.  An empty feed
     gives an empty result."""
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()         # ids and texts both read it
-        CI.append(spark, batch, index_path, dim)
-        batch.unpersist()
+        CI.append(spark, batch, index_path, dim)         # reads the batch twice (ids, texts), which is less than keeping it
     run_available(_source(spark, source_path, schema, feed).writeStream.foreachBatch(refresh), "index", spark, feed)
     m = CI.manifest(spark, index_path)
     if m is None or not m.batches:

@@ -167,3 +167,19 @@ def test_on_time_late_and_untimed_add_up_to_the_input(spark):
             ("on_time", "2024-01-09", None): 1, ("late", "2024-01-01", "a"): 1, ("late", "2024-01-02", "b"): 1,
             ("late", "2024-01-03", "a"): 2, ("untimed", None, "b"): 1, ("untimed", None, None): 1}
         assert sum(got.values()) == 11
+
+
+def test_a_triage_batch_is_kept_without_its_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from casework.operators import validate as V
+    from casework.session import scratch_path
+    from casework.streaming import jobs as J
+    src = scratch_path(spark, "t-triage-src")
+    df = spark.range(4).select(F.col("id").alias("case_id"), F.lit("too short").alias("complaint_text"))
+    df.write.parquet(src)
+    kept, sink = [], J._versioned_sink
+    def spied(path, prepare):
+        return lambda b, i: (kept.append(b.columns), sink(path, prepare)(b, i))
+    monkeypatch.setattr(J, "_versioned_sink", spied)
+    _, rejected = J.run_triage(spark, src, df.schema, scratch_path(spark, "t-triage-out"), V.Rules())
+    assert rejected.count() == 4 and kept and all("complaint_text" not in c for c in kept)
