@@ -8,24 +8,27 @@ the first by (document, line number).
 1. Equal lines are grouped by a 128-bit digest (an aggregate, combined map-side).
 2. Every line gets ``BANDS`` x ``ROWS`` minima; lines that agree on all of a band's minima are
    candidates.  With 20 bands of 5 rows a pair at similarity 0.8 is found with probability
-   0.9996, one at 0.85 with 0.99999.  A band travels as (band, 64-bit handle): no text is shuffled
-   for lines without a candidate beside the one scan by handle.
+   0.9996, one at 0.85 with 0.99999.  A band travels as its key and the line's 64-bit handle, many
+   bands of one part of the keys in a row: no text is shuffled for lines without a candidate beside
+   the one scan by handle.
 3. Buckets with the same first and last handle are merged, and each is verified in a task:
-   a walk takes out the lines it has reached, comparing exact shingle sets, and only the
-   links of the walk leave the task.  Larger buckets are dealt as pairs of blocks.
+   pairs that a bound on the similarity leaves are compared as exact shingle sets; in larger
+   buckets a walk takes out the lines it has reached, and only the links of the walk leave the
+   task.  Still larger buckets are dealt as pairs of blocks.
 4. The links' components come from ``components``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from casework.llm.blocks import spans, whole_groups
 from casework.llm.components import components
@@ -37,25 +40,100 @@ BANDS, ROWS = 20, 5
 #: Code points whose shingles are hashed at once.
 CHUNK = 1 << 17
 #: Groups up to this size are compared pair by pair, larger ones as a walk.
-FEW = 6
+FEW = 30
+#: Bits of a line's sketch, from which the similarity of a pair is bounded.
+SKETCH = 2048
+#: Code points that a line counts for at least where lines are compared ``CHUNK`` at a time.
+SHORT = 64
+#: Bytes of text that are split into lines at once.
+SPLIT = 8 << 20
+#: Lines whose bands go out together, and parts of the band keys for each shuffle partition.
+DEALT, PARTS = 1 << 16, 8
 #: Lines of a bucket that one task compares.
 BUCKET = 2000
 _SEED = 42
 
 
-def bare(line: str) -> Column:
-    return F.btrim(F.col(line), F.lit(" \t\r\x0b\x0c"))
+def split_lines(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(text's place, line number, line without white space around it) of lower-case texts, some texts
+    at a time.  A null text is one blank line."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SPLIT, side="right")))
+        split = pc.split_pattern(pc.fill_null(texts.slice(first, last - first), ""), "\n")
+        of = pc.list_parent_indices(split).to_numpy().astype(np.int64)
+        number = np.arange(len(of)) - np.searchsorted(of, of)
+        yield of + first, number.astype(np.int32), pc.ascii_trim(pc.list_flatten(split), " \t\r\x0b\x0c")
+        first = last
+
+
+def objects(column: pa.Array) -> list:
+    """``to_pylist`` for texts and bytes, in a third of the time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
 
+def digests(norm: pa.Array) -> list[bytes]:
+    return [md5(line, usedforsecurity=False).digest() for line in objects(norm.cast(pa.binary()))]
 
-def normal(line: str) -> Column:
-    return F.lower(bare(line))
+
+def handles(keys: list[bytes]) -> np.ndarray:
+    """64-bit handles of lines, from their digests."""
+    return np.frombuffer(b"".join(keys), np.int64)[::2]
+
+
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: (key, version, low) -> (key, version, line_no, line_key), null for a blank line."""
+    for batch in batches:
+        for of, number, norm in split_lines(batch.column("low")):
+            blank = pc.equal(norm, "").to_numpy(zero_copy_only=False)
+            line_key = [None if no else d for no, d in zip(blank.tolist(), digests(norm))]
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("version").take(at), pa.array(number),
+                                              pa.array(line_key, pa.binary())], ["key", "version", "line_no", "line_key"])
+
+
+def handled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: (low) -> (h, line_key, norm) of the lines that are not blank, equal ones of some
+    texts once, so that a line of many documents is no heap of rows in the join by handle."""
+    for batch in batches:
+        for _, _, norm in split_lines(batch.column("low")):
+            norm = norm.filter(pc.not_equal(norm, ""))
+            line_key = digests(norm)
+            h, at = np.unique(handles(line_key), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([line_key[i] for i in at.tolist()], pa.binary()),
+                                              norm.take(pa.array(at))], ["h", "line_key", "norm"])
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, version, line_no, line): lines of every document; ``version`` tells texts of one key apart."""
-    split = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("version"),   # once a text, not a line
-                        F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("split"))
-    return split.select("key", "version", F.posexplode("split").alias("line_no", "line"))
+    """(key, version, line_no, line_key): lines of every document; ``version`` tells texts of one key
+    apart, ``line_key`` is the digest of the line as it is compared, null for a blank one."""
+    schema = StructType().add("key", docs.schema[key].dataType).add("version", LongType()) \
+        .add("line_no", IntegerType()).add("line_key", BinaryType())
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("version"),
+                       F.lower(text).alias("low")).mapInArrow(keyed, schema)
+
+
+def hashed(texts: list[str], sizes: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of texts of ``sizes`` code points, one text after the other, where
+    each text begins and how many it has."""
+    padded = np.maximum(sizes, shingle)
+    chars = "".join(t.ljust(shingle, "\0") for t in texts).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(chars, np.uint32).astype(np.uint64)
+    m = len(points) - shingle + 1
+    code = np.zeros(m, np.uint64)
+    for j in range(shingle):
+        code *= np.uint64(0x100000001B3)
+        code += points[j:j + m]
+    code ^= code >> np.uint64(31)
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    x = (code >> np.uint64(32)).astype(np.uint32)
+    counts = padded - shingle + 1                              # shingles of each line
+    begin = np.cumsum(padded) - padded
+    keep = np.ones(len(x) + shingle, bool)                     # without those that run over a line's end
+    for j in range(1, shingle):
+        keep[(begin + counts + j - 1)[:-1]] = False
+    return x[keep[:len(x)]], np.cumsum(counts) - counts, counts
 
 
 def band_keys(texts: list[str], sizes: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
@@ -69,54 +147,81 @@ def band_keys(texts: list[str], sizes: np.ndarray, bands: int, rows: int, shingl
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, side="right")))
-        chars = "".join(t.ljust(shingle, "\0") for t in texts[first:last]).encode("utf-32-le", "surrogatepass")
-        points = np.frombuffer(chars, np.uint32).astype(np.uint64)
-        m = len(points) - shingle + 1
-        code = np.zeros(m, np.uint64)
-        for j in range(shingle):
-            code *= np.uint64(0x100000001B3)
-            code += points[j:j + m]
-        code ^= code >> np.uint64(31)
-        code *= np.uint64(0x9E3779B97F4A7C15)
-        x = (code >> np.uint64(32)).astype(np.uint32)
-        counts = padded[first:last] - shingle + 1                  # shingles of each line
-        begin = np.cumsum(padded[first:last]) - padded[first:last]
-        keep = np.ones(len(x) + shingle, bool)                     # without those that run over a line's end
-        for j in range(1, shingle):
-            keep[(begin + counts + j - 1)[:-1]] = False
-        x = x[keep[:len(x)]]
-        starts = np.cumsum(counts) - counts
-        y = np.empty_like(x)
-        for band in range(bands):
-            key = np.full(last - first, band + 1, np.uint64)
-            for r in range(band * rows, band * rows + rows):
-                np.multiply(x, factor[r], out=y)
-                np.add(y, shift[r], out=y)
-                key ^= np.minimum.reduceat(y, starts)
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            out[band, first:last] = key
+        x, starts, _ = hashed(texts[first:last], sizes[first:last], shingle)
+        y, least = np.empty_like(x), np.empty((bands, rows, last - first), np.uint32)
+        for r, minima in enumerate(least.reshape(bands * rows, -1)):
+            np.multiply(x, factor[r], out=y)
+            np.add(y, shift[r], out=y)
+            np.minimum.reduceat(y, starts, out=minima)
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], last - first, axis=1)
+        for r in range(rows):
+            key ^= least[:, r]
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, first:last] = key
         first = last
     return out
 
 
-def banded(bands: int, rows: int, shingle: int):
-    """Arrow function: (h, norm) -> (band, h), each line of a batch once."""
-    schema = pa.schema([("band", pa.int64()), ("h", pa.int64())])
+def banded(bands: int, rows: int, shingle: int, parts: int):
+    """Arrow function: (low) -> (part, keys, handles), the bands of about ``DEALT`` lines in a row for
+    each part of the band keys: 32 bits of each key, 64 bits of each handle."""
+    names = ["part", "keys", "handles"]
+
+    def packed(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = np.concatenate([k.reshape(-1) for k, _ in some])
+        h = np.concatenate([np.tile(h, bands) for _, h in some])
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        starts, sizes = spans(part[order])
+        low, h = keys.astype(np.uint32)[order].tobytes(), h[order].tobytes()
+        return pa.RecordBatch.from_arrays([
+            pa.array(part[order][starts]),
+            pa.array([low[4 * s:4 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist())], pa.binary()),
+            pa.array([h[8 * s:8 * (s + n)] for s, n in zip(starts.tolist(), sizes.tolist())], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
         for batch in batches:
-            h, at = np.unique(batch.column("h").to_numpy(), return_index=True)
-            if not len(h):
-                continue
-            norm = batch.column("norm").take(pa.array(at))
-            keys = band_keys(norm.to_pylist(), pc.utf8_length(norm).to_numpy().astype(np.int64), bands, rows, shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)),
-                                              pa.array(np.tile(h, bands))], schema=schema)
+            for _, _, norm in split_lines(batch.column("low")):
+                norm = norm.filter(pc.not_equal(norm, ""))
+                h, at = np.unique(handles(digests(norm)), return_index=True)
+                if not len(h):
+                    continue
+                for s in range(0, len(h), DEALT):
+                    each = norm.take(pa.array(at[s:s + DEALT]))
+                    sizes = pc.utf8_length(each).to_numpy().astype(np.int64)
+                    some.append((band_keys(objects(each), sizes, bands, rows, shingle), h[s:s + DEALT]))
+                    n += len(each)
+                    if n >= DEALT:
+                        yield packed(some)
+                        some, n = [], 0
+        if some:
+            yield packed(some)
 
     return run
 
 
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: rows (part, keys, handles) sorted by part -> (x, y, h): every handle of a bucket
+    of different handles, with the bucket's first and last."""
+    for table in whole_groups(batches, "part"):
+        for s, n in zip(*(a.tolist() for a in spans(table["part"].to_numpy()))):
+            key = np.frombuffer(b"".join(table["keys"].slice(s, n).to_pylist()), np.uint32)
+            h = np.frombuffer(b"".join(table["handles"].slice(s, n).to_pylist()), np.int64)
+            order = np.argsort(key)
+            starts, sizes = spans(key[order])
+            if len(starts) == len(key):
+                continue
+            h = h[order][np.repeat(sizes > 1, sizes)]
+            sizes = sizes[sizes > 1]
+            starts = np.cumsum(sizes) - sizes
+            x, y = np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)
+            several = np.repeat(x != y, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, sizes)[several]), pa.array(np.repeat(y, sizes)[several]),
+                                              pa.array(h[several])], ["x", "y", "h"])
+
+
 def numbered(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text as sorted numbers, one text after the other, and how many each
     has.  Within a call numbers are equal where shingles are, and only there."""
@@ -184,28 +289,76 @@ def reach(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[
     return links
 
 
+def likely(texts: list[str], i: np.ndarray, j: np.ndarray, similarity: float, shingle: int) -> np.ndarray:
+    """Which pairs (i, j) of texts may reach ``similarity``: never wrong about one that does.
+
+    A sketch has a bit for each of ``SKETCH`` slots that a shingle of the text falls into, so a bit that
+    only one of two texts has stands for a shingle, or more, that the other lacks."""
+    x, _, counts = hashed(texts, np.array([len(t) for t in texts], np.int64), shingle)
+    slots = np.zeros((len(texts), SKETCH), bool)
+    slots[np.repeat(np.arange(len(texts)), counts), x % np.uint32(SKETCH)] = True
+    bits = np.packbits(slots, axis=1).view(np.uint64)
+    possible = np.empty(len(i), bool)
+    for s in range(0, len(i), 1 << 14):
+        a, b = i[s:s + (1 << 14)], j[s:s + (1 << 14)]
+        both = bits[a] & bits[b]
+        only_a = np.bitwise_count(bits[a] ^ both).sum(axis=1, dtype=np.int64)
+        only_b = np.bitwise_count(bits[b] ^ both).sum(axis=1, dtype=np.int64)
+        shared = np.minimum(counts[a] - only_a, counts[b] - only_b)
+        possible[s:s + (1 << 14)] = shared >= similarity * (shared + only_a + only_b) * (1 - 1e-9)
+    return possible
+
+
+def pair_links(texts: list[str], groups: list[int], similarity: float, shingle: int) -> list[tuple[int, int]]:
+    """``group_links`` for small groups: the pairs that ``likely`` leaves, but those linked already."""
+    n = np.array(groups)
+    begin = np.cumsum(n) - n
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(n[n > 1]).tolist():
+        a, b = np.triu_indices(size, 1)
+        i.append((begin[n == size][:, None] + a).reshape(-1))
+        j.append((begin[n == size][:, None] + b).reshape(-1))
+    i, j = np.concatenate(i), np.concatenate(j)
+    if not len(i):
+        return []
+    possible = likely(texts, i, j, similarity, shingle)
+    i, j = i[possible], j[possible]
+    if not len(i):
+        return []
+    used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    flat, sizes = numbered([texts[t] for t in used], shingle)
+    sets = np.split(flat, np.cumsum(sizes)[:-1])
+    root, links = list(range(len(used))), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in zip(at[:len(i)].tolist(), at[len(i):].tolist()):
+        x, y = top(a), top(b)
+        if x != y:
+            both = np.sort(np.concatenate((sets[a], sets[b])))
+            shared = np.count_nonzero(both[1:] == both[:-1])
+            if shared >= similarity * (len(both) - shared):
+                links.append((int(used[a]), int(used[b])))
+                root[y] = x
+    return links
+
+
 def group_links(texts: list[str], groups: list[int], similarity: float, shingle: int) -> list[tuple[int, int]]:
     """Links (positions in ``texts``) within groups of texts that stand in a row, ``groups`` of them each."""
-    flat, sizes = numbered(texts, shingle)
-    starts = np.cumsum(sizes) - sizes
-    links, at = [], 0
+    links, small, sizes, at = [], [], [], 0
     for n in groups:
         if n <= FEW:
-            part = {i: flat[starts[i]:starts[i] + sizes[i]] for i in range(at, at + n)}
-            label = {i: i for i in part}
-            for i, j in combinations(part, 2):
-                a, b = len(part[i]), len(part[j])
-                if label[i] != label[j] and min(a, b) >= similarity * max(a, b):
-                    both = np.sort(np.concatenate((part[i], part[j])))
-                    shared = np.count_nonzero(both[1:] == both[:-1])
-                    if shared >= similarity * (a + b - shared):
-                        links.append((i, j))
-                        label = {k: label[i] if x == label[j] else x for k, x in label.items()}
+            small += range(at, at + n)
+            sizes.append(n)
         else:
-            s = int(starts[at])
-            size = sizes[at:at + n]
-            links += [(at + i, at + j) for i, j in reach(flat[s:s + int(size.sum())], size, similarity)]
+            flat, size = numbered(texts[at:at + n], shingle)
+            links += [(at + i, at + j) for i, j in reach(flat, size, similarity)]
         at += n
+    if small:
+        links += [(small[i], small[j]) for i, j in pair_links([texts[i] for i in small], sizes, similarity, shingle)]
     return links
 
 
@@ -218,14 +371,14 @@ def verified(similarity: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "gid"):
             starts, sizes = spans(table["gid"].to_numpy())
-            length = np.add.reduceat(pc.utf8_length(table["norm"]).to_numpy().astype(np.int64), starts)
+            length = np.add.reduceat(np.maximum(pc.utf8_length(table["norm"]).to_numpy().astype(np.int64), SHORT), starts)
             ends = np.cumsum(length)
             first = 0
             while first < len(starts):
                 done = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
                 part = table.slice(starts[first], sizes[first:last].sum())
-                pairs = group_links(part["norm"].to_pylist(), sizes[first:last].tolist(), similarity, shingle)
+                pairs = group_links(objects(part["norm"].combine_chunks()), sizes[first:last].tolist(), similarity, shingle)
                 keys = part["line_key"]
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array([p[end] for p in pairs], pa.int64())).combine_chunks().cast(pa.binary())
@@ -249,18 +402,14 @@ def deal(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
 def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between digests of different lines that span every component of them."""
-    norm = lines(docs, key, text).where(bare("line") != "").select(normal("line").alias("norm"))
-    handled = norm.select(F.xxhash64("norm").alias("h"), "norm")
-    keyed = handled.mapInArrow(banded(bands, rows, shingle), "band long, h long")
-    band = Window.partitionBy("band")
-    first, last = F.min("h").over(band), F.max("h").over(band)
-    cands = written(keyed.select("h", first.alias("x"), last.alias("y")).where("x <> y")
-                    .select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
-    # Distinct by text, not by handle: equal lines shrink to one a task before the next exchange,
-    # and the join has an exchange right below both sides, so a hot line can be split.
+    low = docs.select(F.lower(text).alias("low"))
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = (low.mapInArrow(banded(bands, rows, shingle, parts), "part int, keys binary, handles binary")
+               .repartition("part").sortWithinPartitions("part").mapInArrow(met, "x long, y long, h long"))
+    cands = written(buckets.select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
     # Written, so that the shuffles above are gone before the groups are dealt out.
-    texts = (handled.join(cands.select("h").hint("shuffle_hash"), "h", "left_semi").select("norm").distinct()
-             .select(F.xxhash64("norm").alias("h"), F.unhex(F.md5("norm")).alias("line_key"), "norm"))
+    texts = (low.mapInArrow(handled, "h long, line_key binary, norm string")
+             .join(cands.select("h").hint("shuffle_hash"), "h", "left_semi").distinct())
     texts = written(texts, "line-texts")
     grouped = cands.join(texts, "h").select("gid", "line_key", "norm")
     sizes = cands.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
@@ -278,9 +427,7 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     null (null first); rows equal in key and text are one document, whose lines are kept or
     dropped alike; an empty table gives an empty result.
     """
-    all_lines = lines(docs, key, text).withColumn("norm", normal("line"))
-    table = written(all_lines.select("key", "version", "line_no", F.when(F.col("norm") != "", F.unhex(F.md5("norm")))
-                                     .alias("line_key")), "lines")
+    table = written(lines(docs, key, text), "lines")
     place = F.struct("key", "version", "line_no")
     exact = written(table.where(F.col("line_key").isNotNull()).groupBy("line_key").agg(F.min(place).alias("first")),
                     "line-groups")

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -161,6 +162,54 @@ def test_bands_find_nearly_every_pair_at_the_threshold():
     assert found >= .998, found
 
 
+def test_lines_travel_as_parts_of_the_band_keys():
+    rng = np.random.default_rng(6)
+    base = ["".join(rng.choice(list("abcdefgh "), 80)) for _ in range(150)]
+    base += [b[:40] + "#" + b[41:] for b in base[:50]]
+    docs = pa.array(["\n".join(base[k:k + 20]) for k in range(0, 200, 10)] + [None, "", "\n \t\n"])
+    rows = list(linededup.banded(20, 5, 5, 16)(iter([pa.RecordBatch.from_arrays([docs], ["low"])])))
+    assert sum(r.num_rows for r in rows) <= 16                        # not 20 for each line
+    norm = sorted({b.strip(" \t") for b in base})
+    h = linededup.handles(linededup.digests(pa.array(norm))).tolist()
+    keys = linededup.band_keys(norm, np.array([len(b) for b in norm]), 20, 5, 5)
+    want = set()
+    for k in np.unique(keys):
+        bucket = [h[i] for i in np.flatnonzero((keys == k).any(axis=0))]
+        want |= {(min(bucket), max(bucket), x) for x in bucket if len(bucket) > 1}
+    table = pa.Table.from_batches(rows).sort_by("part").to_batches()
+    got = {tuple(r.values()) for b in linededup.met(iter(table)) for r in b.to_pylist()}
+    assert len(want) >= 100 and got == want
+    sent = pa.Table.from_batches(linededup.handled(iter([pa.RecordBatch.from_arrays([docs], ["low"])])))
+    assert sorted(sent["norm"].to_pylist()) == norm                   # a repeated line goes once
+
+
+def test_texts_split_into_lines_as_in_python():
+    texts = ["", None, "a", "\n", " a\t\r\n\x0b\n\u00a0b \n", "\u2028\U0001F600\r\r\n\x0c"] * 3
+    want = [(t, n, line.strip(" \t\r\x0b\x0c")) for t, x in enumerate(texts) for n, line in enumerate((x or "").split("\n"))]
+    for size in (1, 8, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(linededup, "SPLIT", size)
+            got = [r for of, number, line in linededup.split_lines(pa.array(texts).slice(0))
+                   for r in zip(of.tolist(), number.tolist(), line.to_pylist())]
+        assert got == want
+
+
+def test_sketches_leave_every_pair_that_reaches_the_similarity():
+    rng = np.random.default_rng(7)
+    texts = ["ab", "ab\0", "a", "aaaaaaaaaaaa", "aaaaaaa"]
+    for n in rng.integers(5, 4000, 20).tolist():
+        base = rng.choice(list("abcdefgh "), n)
+        texts += ["".join(np.where(rng.random(n) < share, "#", base)) for share in (0, 0, .01, .02, .03, .05, .2)]
+    sets = [shingles(t, 5) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    likeness = np.array([len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in zip(i, j)])
+    for similarity in (.5, .8, 1):
+        possible = linededup.likely(texts, i, j, similarity, 5)
+        assert possible[likeness >= similarity].all()
+        short = (np.array([len(t) for t in texts]) < 1000)[i] & (likeness < .3)
+        assert similarity < .8 or possible[short].mean() < .01        # long texts fill their sketches
+
+
 def test_fuzzy_lines_match_brute_force(spark):
     rows = spark.read.parquet(f"{SF_SMOKE}/documents.parquet").select("doc_id", "text").collect()
     first = {}
