@@ -9,8 +9,8 @@ the first by (document, line number).
 2. Every line gets ``BANDS`` x ``ROWS`` minima; lines that agree on all of a band's minima are
    candidates.  With 20 bands of 5 rows a pair at similarity 0.8 is found with probability
    0.9996, one at 0.85 with 0.99999.  A band travels as its key and the line's 64-bit handle, many
-   bands of one part of the keys in a row: no text is shuffled for lines without a candidate beside
-   the one scan by handle.
+   bands of one part of the keys in a row.  Texts travel twice, to their handle and to their buckets,
+   in compressed boxes of many lines of one part of the handles or buckets.
 3. Buckets with the same first and last handle are merged, and each is verified in a task:
    pairs that a bound on the similarity leaves are compared as exact shingle sets; in larger
    buckets a walk takes out the lines it has reached, and only the links of the walk leave the
@@ -20,7 +20,7 @@ the first by (document, line number).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -49,6 +49,8 @@ SHORT = 64
 SPLIT = 8 << 20
 #: Lines whose bands go out together, and parts of the band keys for each shuffle partition.
 DEALT, PARTS = 1 << 16, 8
+#: Bytes of rows that go out together, boxed.
+BOXED = 32 << 20
 #: Lines of a bucket that one task compares.
 BUCKET = 2000
 _SEED = 42
@@ -94,8 +96,8 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def handled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: (low) -> (h, line_key, norm) of the lines that are not blank, equal ones of some
-    texts once, so that a line of many documents is no heap of rows in the join by handle."""
+    """Arrow function: (low) -> (h, line_key, norm) of the lines that are not blank, equal ones of some texts once, so that a
+    line of many documents is no heap of rows where handles meet."""
     for batch in batches:
         for _, _, norm in split_lines(batch.column("low")):
             norm = norm.filter(pc.not_equal(norm, ""))
@@ -105,6 +107,96 @@ def handled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               norm.take(pa.array(at))], ["h", "line_key", "norm"])
 
 
+def boxed(rows: Iterable[pa.RecordBatch], key: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, box): the rows of each part of the 64-bit numbers ``key``, about ``BOXED`` bytes of rows together,
+    as one compressed Arrow stream."""
+    def packed(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(some).combine_chunks()
+        part = ((table[key].to_numpy().view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        starts, sizes = spans(part[order])
+        table, out = table.take(pa.array(order)).combine_chunks(), []
+        for s, n in zip(starts.tolist(), sizes.tolist()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_table(table.slice(s, n))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(part[order][starts]), pa.array(out, pa.binary())], ["part", "box"])
+
+    some, size = [], 0
+    for batch in rows:
+        if len(batch):
+            some.append(batch)
+            size += batch.nbytes
+        if size >= BOXED:
+            yield packed(some)
+            some, size = [], 0
+    if some:
+        yield packed(some)
+
+
+def unboxed(boxes: pa.ChunkedArray) -> pa.Table:
+    """The rows of some boxes."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in boxes.to_pylist()])
+
+
+def by_handle(parts: int) -> Callable:
+    """Arrow function: (low) -> (part, box, pairs): boxes of lines by part of their handles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in boxed(handled(batches), "h", parts):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.binary())], ["part", "box", "pairs"])
+
+    return run
+
+
+def pairs_by_handle(parts: int) -> Callable:
+    """Arrow function: (gid, h) -> (part, box, pairs): the same boxes for the lines of buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in boxed(batches, "h", parts):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(len(b), pa.binary()), b.column(1)], ["part", "box", "pairs"])
+
+    return run
+
+
+def bucketed(parts: int) -> Callable:
+    """Arrow function: boxes sorted by part -> (part, box): every line of a bucket with its text, boxed by part
+    of the buckets.  A line stands once in a bucket."""
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "part"):
+            for s, n in zip(*(a.tolist() for a in spans(table["part"].to_numpy()))):
+                boxes, pairs = (table[c].slice(s, n).drop_null() for c in ("box", "pairs"))
+                if not len(boxes) or not len(pairs):
+                    continue
+                pairs = unboxed(pairs).sort_by("h").combine_chunks()
+                asked = pairs["h"].to_numpy()
+                texts = []
+                for box in boxes.to_pylist():
+                    rows = pa.ipc.open_stream(box).read_all()
+                    at = np.searchsorted(asked, h := rows["h"].to_numpy())
+                    texts.append(rows.filter(pa.array(asked[np.minimum(at, len(asked) - 1)] == h)))
+                texts = pa.concat_tables(texts).combine_chunks()
+                if not len(texts):
+                    continue
+                keys = np.array(objects(texts["line_key"].combine_chunks()), object)
+                texts = texts.take(pa.array(np.unique(keys, return_index=True)[1]))       # equal lines once
+                h = texts["h"].to_numpy()
+                first, last = np.searchsorted(asked, h), np.searchsorted(asked, h, side="right")
+                n_gids = last - first
+                at = np.repeat(first - (np.cumsum(n_gids) - n_gids), n_gids) + np.arange(n_gids.sum())
+                gids, of = pairs["gid"].to_numpy()[at], np.repeat(np.arange(len(h)), n_gids)
+                size = max(1, len(of) * BOXED // max(1, BOXED, int(np.repeat(
+                    pc.binary_length(texts["norm"]).to_numpy(), n_gids).sum())))          # rows of about ``BOXED`` bytes
+                for i in range(0, len(of), size):
+                    some = texts.take(pa.array(of[i:i + size]))
+                    yield pa.RecordBatch.from_arrays([pa.array(gids[i:i + size]), some["line_key"].combine_chunks(),
+                                                      some["norm"].combine_chunks()], ["gid", "line_key", "norm"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return boxed(joined(batches), "gid", parts)
+
+    return run
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, version, line_no, line_key): lines of every document; ``version`` tells texts of one key
     apart, ``line_key`` is the digest of the line as it is compared, null for a blank one."""
@@ -363,13 +455,18 @@ def group_links(texts: list[str], groups: list[int], similarity: float, shingle:
 
 
 def verified(similarity: float, shingle: int):
-    """Arrow function: rows (gid, line_key, norm) sorted by gid -> links (a, b) of line keys.
+    """Arrow function: boxes (part, box) of rows (gid, line_key, norm), sorted by part -> links (a, b) of line keys.
 
     Groups are compared some at a time: together about ``CHUNK`` code points, or one group."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for table in whole_groups(batches, "part"):
+            for s, n in zip(*(a.tolist() for a in spans(table["part"].to_numpy()))):
+                yield unboxed(table["box"].slice(s, n)).sort_by("gid").combine_chunks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gid"):
+        for table in parts(batches):
             starts, sizes = spans(table["gid"].to_numpy())
             length = np.add.reduceat(np.maximum(pc.utf8_length(table["norm"]).to_numpy().astype(np.int64), SHORT), starts)
             ends = np.cumsum(length)
@@ -389,13 +486,13 @@ def verified(similarity: float, shingle: int):
 
 
 def deal(rows: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
-    """``rows`` (gid, line_key, norm) with the groups of over ``bucket`` rows (``sizes``: gid, n) copied
-    to pairs of blocks, so that every two lines of a group still meet."""
+    """``rows`` (gid, h) with the groups of over ``bucket`` rows (``sizes``: gid, n) copied to pairs of
+    blocks, so that every two lines of a group still meet."""
     big = sizes.where(F.col("n") > bucket).select("gid", F.ceil(2 * F.col("n") / bucket).cast("int").alias("blocks"))
-    i = F.pmod(F.xxhash64(F.lit("block"), "line_key"), F.col("blocks")).cast("int")
+    i = F.pmod(F.xxhash64(F.lit("block"), "h"), F.col("blocks")).cast("int")
     hot = (rows.join(big, "gid").withColumn("i", i)
            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select(F.xxhash64("gid", F.least("i", "j"), F.greatest("i", "j")).alias("gid"), "line_key", "norm"))
+           .select(F.xxhash64("gid", F.least("i", "j"), F.greatest("i", "j")).alias("gid"), "h"))
     return rows.join(big, "gid", "left_anti").unionByName(hot)
 
 
@@ -407,15 +504,15 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     buckets = (low.mapInArrow(banded(bands, rows, shingle, parts), "part int, keys binary, handles binary")
                .repartition("part").sortWithinPartitions("part").mapInArrow(met, "x long, y long, h long"))
     cands = written(buckets.select(F.xxhash64("x", "y").alias("gid"), "h").distinct(), "line-candidates")
-    # Written, so that the shuffles above are gone before the groups are dealt out.
-    texts = (low.mapInArrow(handled, "h long, line_key binary, norm string")
-             .join(cands.select("h").hint("shuffle_hash"), "h", "left_semi").distinct())
-    texts = written(texts, "line-texts")
-    grouped = cands.join(texts, "h").select("gid", "line_key", "norm")
+    # Written, so that the shuffles above are gone before texts travel.
     sizes = cands.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     if not sizes.where(F.col("n") > bucket).isEmpty():
-        grouped = deal(grouped, sizes, bucket)
-    return (grouped.repartition("gid").sortWithinPartitions("gid")
+        cands = deal(cands, sizes, bucket)
+    boxes = (low.mapInArrow(by_handle(parts), "part int, box binary, pairs binary")
+             .unionByName(cands.mapInArrow(pairs_by_handle(parts), "part int, box binary, pairs binary"))
+             .repartition("part").sortWithinPartitions("part").mapInArrow(bucketed(parts), "part int, box binary"))
+    # Written, so that the boxes by handle are gone before those by bucket travel.
+    return (written(boxes, "line-texts").repartition("part").sortWithinPartitions("part")
             .mapInArrow(verified(similarity, shingle), "a binary, b binary"))
 
 

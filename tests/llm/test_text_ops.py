@@ -183,6 +183,32 @@ def test_lines_travel_as_parts_of_the_band_keys():
     assert sorted(sent["norm"].to_pylist()) == norm                   # a repeated line goes once
 
 
+def test_texts_of_lines_travel_in_compressed_boxes(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    norm = [" ".join(rng.choice(words, 12)) for _ in range(400)]
+    docs = [pa.array(["\n".join(norm[k:k + 40]) for k in range(0, 400, 20)]) for _ in range(3)]
+    keys = linededup.digests(pa.array(norm))
+    h = linededup.handles(keys)
+    gids = rng.integers(-1 << 62, 1 << 62, 60)
+    want = {(int(gids[i % 60]), keys[i], norm[i]) for i in range(300)} | {(int(gids[i % 7]), keys[i], norm[i]) for i in range(50)}
+    cands = sorted({(g, int(h[keys.index(k)])) for g, k, _ in want})
+    for most in (1, 32 << 20):
+        monkeypatch.setattr(linededup, "BOXED", most)
+        sent = list(linededup.by_handle(8)(pa.RecordBatch.from_arrays([d], ["low"]) for d in docs))
+        asked = pa.RecordBatch.from_arrays([pa.array([c[i] for c in cands], pa.int64()) for i in (0, 1)], ["gid", "h"])
+        sent += linededup.pairs_by_handle(8)(iter([asked]))
+        met = list(linededup.bucketed(8)(iter(pa.Table.from_batches(sent).sort_by("part").to_batches(max_chunksize=3))))
+        rows = linededup.unboxed(pa.Table.from_batches(met)["box"])
+        got = list(zip(*(rows[c].to_pylist() for c in ("gid", "line_key", "norm"))))
+        assert len(got) == len(want) and set(got) == want             # a line once in a bucket
+        for b in met:                                                 # a bucket in one part
+            for part, box in zip(b["part"].to_pylist(), b["box"].to_pylist()):
+                g = pa.ipc.open_stream(box).read_all()["gid"].to_numpy().view(np.uint64)
+                assert set((g >> np.uint64(32)) * np.uint64(8) >> np.uint64(32)) == {part}
+    assert sum(b.nbytes for b in met) < .7 * rows.nbytes
+
+
 def test_texts_split_into_lines_as_in_python():
     texts = ["", None, "a", "\n", " a\t\r\n\x0b\n\u00a0b \n", "\u2028\U0001F600\r\r\n\x0c"] * 3
     want = [(t, n, line.strip(" \t\r\x0b\x0c")) for t, x in enumerate(texts) for n, line in enumerate((x or "").split("\n"))]
