@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,27 @@ def test_an_area_sends_out_k_hits_a_query_and_no_blocks(spark):
     assert hits and max(Counter(r.qid for r in hits).values()) <= 3 * index.areas.select("area").distinct().count()
     got = sorted((r.qid, r["rank"], r.nid) for r in LX.search(index, w.where("doc_id in (3, 900)"), 3).collect())
     assert got == [(3, 1, 0), (3, 2, 1), (3, 3, 2), (900, 1, 900), (900, 2, 0), (900, 3, 1)]
+
+
+def test_weights_in_chunks_equal_the_long_form(spark, monkeypatch):
+    from casework.operators import termweights as TW
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)] + ["the", "naïve", "_x"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(80)]
+    odd = [(200, None), (201, ""), (202, "the a"), (None, "w1 w2 w1"), (7, "w1 w2 again"), (7, None), (7, "w59 again")]
+    spread = [(i, f"w1 w2 only{i}") for i in range(300, 330)]
+    monkeypatch.setattr(TW, "ROWS", 7)
+    clean = rows + spread                                             # its rows are not shuffled as (id, term)
+    for chunk, data in ((300, rows + odd), (8 << 20, rows + odd + [(None, "w3 w1")]), (300, clean), (300, odd[:3])):
+        monkeypatch.setattr(TW, "CHUNK", chunk)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        for spec in (FE.TermSpec(stop_words=FE.stop_words(), bigrams=True, clean=True), FE.TermSpec()):
+            _, want = FE.corpus_tfidf(df, "doc_id", "text", spec, numbered=False)
+            want = {(r.doc_id, r.term): r.weight for r in want.collect()}
+            out = TW.corpus_weights(df, "doc_id", "text", spec)
+            assert out.dtypes == [("doc_id", "bigint"), ("term", "string"), ("weight", "double")]
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert data is not clean or ("hashpartitioning(chunk" in plan and "Join" not in plan and "Window" not in plan)
+            got = out.collect()
+            assert len(got) == len(want) and {(r.doc_id, r.term) for r in got} == want.keys()
+            assert all(abs(r.weight - want[r.doc_id, r.term]) < 1e-12 for r in got)
