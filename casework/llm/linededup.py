@@ -511,8 +511,8 @@ def line_links(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     boxes = (low.mapInArrow(by_handle(parts), "part int, box binary, pairs binary")
              .unionByName(cands.mapInArrow(pairs_by_handle(parts), "part int, box binary, pairs binary"))
              .repartition("part").sortWithinPartitions("part").mapInArrow(bucketed(parts), "part int, box binary"))
-    # Written, so that the boxes by handle are gone before those by bucket travel.
-    return (written(boxes, "line-texts").repartition("part").sortWithinPartitions("part")
+    # Not written: the job that reads the links drops both kinds of boxes with its end.
+    return (boxes.repartition("part").sortWithinPartitions("part")
             .mapInArrow(verified(similarity, shingle), "a binary, b binary"))
 
 

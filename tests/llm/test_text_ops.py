@@ -209,6 +209,15 @@ def test_texts_of_lines_travel_in_compressed_boxes(monkeypatch):
     assert sum(b.nbytes for b in met) < .7 * rows.nbytes
 
 
+def test_texts_of_lines_are_gone_with_their_links(spark, monkeypatch):
+    names, write = [], linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: names.append(name) or write(df, name))
+    text = "a line of some length that two documents nearly share"
+    docs = spark.createDataFrame([(1, text), (2, text + "s"), (3, "another one")], "doc_id long, text string")
+    assert linededup.line_links(docs).count() == 1
+    assert names == ["line-candidates"]                               # no table of texts stays on disk
+
+
 def test_texts_split_into_lines_as_in_python():
     texts = ["", None, "a", "\n", " a\t\r\n\x0b\n\u00a0b \n", "\u2028\U0001F600\r\r\n\x0c"] * 3
     want = [(t, n, line.strip(" \t\r\x0b\x0c")) for t, x in enumerate(texts) for n, line in enumerate((x or "").split("\n"))]
